@@ -8,7 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from .decontaminate import contamination
+from .language_id import identify
+from .pii import find_personal_data
+from .quality import quality_rules
+from .secret_scan import scan_secrets
 from .shared import table
+from .simhash import near_duplicates
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +28,31 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_json())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+_BY_NAME = (op1_bpe, op4_simhash, op5_language_id, op6_decontamination, op7_quality_rules, op8_secret_scan, op10_pii)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _BY_NAME}
 
 SQL: dict[str, str] = {}
