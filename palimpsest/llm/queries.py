@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from .chat_format import format_conversations
 from .decontaminate import contamination
+from .html_extract import extract_main_text
 from .language_id import identify
+from .lm_score import score_documents
 from .pii import find_personal_data
 from .quality import quality_rules
 from .secret_scan import scan_secrets
@@ -28,6 +31,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,11 +59,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
-_BY_NAME = (op1_bpe, op4_simhash, op5_language_id, op6_decontamination, op7_quality_rules, op8_secret_scan, op10_pii)
+_BY_NAME = (op1_bpe, op2_lm_score, op3_chat_format, op4_simhash, op5_language_id, op6_decontamination, op7_quality_rules, op8_secret_scan, op9_html, op10_pii)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _BY_NAME}
 
 SQL: dict[str, str] = {}
