@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def text_files(spark: SparkSession, n: int, dirs: int, version: int = 0) -> DataFrame:
@@ -13,7 +14,7 @@ def text_files(spark: SparkSession, n: int, dirs: int, version: int = 0) -> Data
     return spark.range(n).select(F.format_string("dir_%d/file_%d.txt", F.col("id") % dirs, "id").alias("path"), body.alias("content"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def xorshift_bytes(size: pd.Series, seed: pd.Series) -> pd.Series:
     """Pseudo-random bytes: the low bytes of a 64-bit xorshift sequence."""
 

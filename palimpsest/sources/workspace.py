@@ -7,6 +7,7 @@ import stat
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .ignore import Rule, matches, parse_rules
@@ -95,7 +96,7 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
     """files with their content, read on the executors, a batch of rows at a time."""
     import pyarrow as pa
 
-    schema = files.schema.add("content", "binary")
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
     place = files.columns.index("relative_path")
 
     def run(batches):
