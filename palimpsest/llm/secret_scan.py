@@ -3,7 +3,7 @@
 Two first-order models over the characters of tokens are trained from labelled samples: random
 strings (values that the fixed patterns matched, and generated ones of hexadecimal, base-62 and
 base-64 digits) and ordinary identifiers (words and dotted, dashed or underscored names of the
-corpus outside those values). A token of 16 characters or more with a digit and a letter whose mean
+corpus outside those values that are shorter than 16 characters or have no digit). A token of 16 characters or more with a digit and a letter whose mean
 log-likelihood ratio is above the threshold is a secret of kind `markov`, unless a fixed pattern has
 it already.
 
@@ -39,6 +39,7 @@ ASSIGN = re.compile(rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 characters or more; shorter matches would be dropped
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 WORD = re.compile(r"[A-Za-z][A-Za-z0-9_.-]{3,}")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -62,8 +63,12 @@ _PLACE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 SIZE = len(ALPHABET) + 1
 
 
+#: Observations that a character's overall frequency counts for.
+PRIOR = 20.0
+
+
 class Markov:
-    """Counts of character pairs; log-probabilities with one added to each."""
+    """Counts of character pairs; what was rarely seen after a character is judged by its overall frequency."""
 
     def __init__(self, counts: np.ndarray | None = None):
         self.counts = np.zeros((SIZE, SIZE)) if counts is None else counts
@@ -73,8 +78,9 @@ class Markov:
         np.add.at(self.counts, (c[:-1], c[1:]), 1)
 
     def log_probabilities(self) -> np.ndarray:
-        n = self.counts + 1
-        return np.log(n / n.sum(1, keepdims=True))
+        overall = self.counts.sum(0) + 0.5
+        overall /= overall.sum()
+        return np.log((self.counts + PRIOR * overall) / (self.counts.sum(1, keepdims=True) + PRIOR))
 
 
 def generated_secrets(n: int, seed: int = 17) -> Iterator[str]:
@@ -101,7 +107,8 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, sample_docs: int) -> n
                 at = 0
                 for start, _, end in [*taken, (len(text), 0, len(text))]:
                     for m in WORD.finditer(text, at, max(at, start)):
-                        ordinary.add(m[0])
+                        if len(m[0]) < 16 or not DIGIT.search(m[0]):  # others are what is to be judged
+                            ordinary.add(m[0])
                     at = max(at, end)
         yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([secret.counts.tobytes(), ordinary.counts.tobytes()], pa.binary())], names=["model", "counts"])
 
@@ -120,7 +127,7 @@ def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]]
         token = m[0]
         if any(a < m.end() and b > m.start() for a, _, b in taken):
             continue
-        if re.search("[0-9]", token) and re.search("[A-Za-z]", token):
+        if DIGIT.search(token) and LETTER.search(token):
             c = codes(token)
             if ratio[c[:-1], c[1:]].mean() > threshold:
                 spans.append((m.start(), 3, m.end()))
@@ -142,7 +149,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, sample_docs: int = 4000, redact: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 3.5, sample_docs: int = 4000, redact: str | None = None) -> DataFrame:
     """One row a document: id_col, n_assign, n_access, n_hex, base_sha256, spans, n_markov.
 
     With redact (a mask), the columns of docs instead, secrets masked in the text.

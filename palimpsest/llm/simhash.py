@@ -80,9 +80,12 @@ def apart(a: str, b: str) -> Column:
 
 def links(prints: DataFrame, bucket: int) -> DataFrame:
     """(a, b) with a < b: links of distinct fingerprints, enough of them to connect all that are linked."""
-    buckets = written(signatures(prints).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    twos = buckets.where("n = 2").select("a", "b")
-    more = written(signatures(prints).join(buckets.where("n > 2").select("sig", "n"), "sig"))
+    buckets = written(signatures(prints).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x")).where("n > 1"))
+    twos = buckets.where("n <= 3").select("a", "b")
+    # Of three, the third is what the exclusive or of all leaves.
+    third = buckets.where("n = 3").select("a", F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b")).alias("c"), "b")
+    twos = twos.unionByName(third.select("a", F.col("c").alias("b"))).unionByName(third.select(F.col("c").alias("a"), "b"))
+    more = written(signatures(prints).join(buckets.where("n > 3").select("sig", "n"), "sig"))
     few = more.where(F.col("n") <= bucket)
     pairs = few.select("sig", F.col("fp").alias("a")).join(few.select("sig", F.col("fp").alias("b")), "sig").where("a < b").select("a", "b")
     found = twos.unionByName(pairs).where(apart("a", "b") <= MAX_BITS).distinct()
