@@ -86,3 +86,26 @@ def test_workspace_round_trip(spark, tmp_path):
     result = store.restore("latest", now, str(root))
     assert result == {"files_added": 1, "files_changed": 1, "files_removed": 1, "files_unchanged": 3}
     assert (root / "a.txt").read_text() == "1" and os.readlink(root / "link") == "a.txt" and not (root / "new").exists()
+
+
+def test_command_line_and_views(spark, tmp_path, capsys):
+    import json
+
+    from palimpsest.__main__ import main
+    from palimpsest.functions.hashing import short_id
+    from palimpsest.plans.views import register
+
+    root, home = tmp_path / "w", tmp_path / "home"
+    root.mkdir()
+    (root / "a").write_text("one")
+    ask = lambda *args: (main(["--store", str(home), "--root", str(root), *args]), capsys.readouterr())
+    code, said = ask("save", "-m", "first")
+    ident = json.loads(said.out)["snapshot_id"]
+    assert code == 0 and json.loads(ask("list")[1].out)["message"] == "first"
+    (root / "a").write_text("changed")
+    assert json.loads(ask("restore", "--dry-run")[1].out)["files_changed"] == 1
+    ask("restore", ident[:20])
+    assert (root / "a").read_text() == "one"
+    names = register(Store(spark, str(home / "stores" / short_id(str(root)))))
+    assert "store_pack_bytes" in names and spark.sql("select live_bytes, dead_bytes from store_pack_bytes").first() == (3, 0)
+    assert ask("delete", ident)[0] == 0 and ask("delete", ident)[0] == 1
