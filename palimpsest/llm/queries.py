@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles
 from .bpe import encode_documents
 from .chat_format import format_conversations
 from .decontaminate import contamination
@@ -32,7 +34,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    scores = score_documents(table(spark, sf_dir, "documents"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +51,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids", "spans", "longest_match")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +73,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BY_NAME = (op1_bpe, op2_lm_score, op3_chat_format, op4_simhash, op5_language_id, op6_decontamination, op7_quality_rules, op8_secret_scan, op9_html, op10_pii)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _BY_NAME}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_lm_score": oracles.OP2, "op6_decontamination": oracles.OP6, "op7_quality_rules": oracles.OP7}
