@@ -20,7 +20,7 @@ All texts are counted and scored whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-def numbered(texts: Iterator[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+def numbered(texts: Iterable[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
     """For each text its words as places in the list of distinct words' hashes, and that list."""
     import xxhash
 
@@ -53,17 +53,30 @@ def numbered(texts: Iterator[str | None]) -> tuple[list[np.ndarray], np.ndarray]
     return coded, np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place)).view(np.int64)
 
 
+#: Characters (but for a last text) whose n-grams are made at once.
+PORTION = 6_000_000
+
+
+def portions(batch: pa.RecordBatch, place: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """A batch in slices of bounded length, each with its texts."""
+    at, chars, texts = 0, 0, []
+    for x in batch.column(place):
+        texts.append(x.as_py())
+        chars += len(texts[-1] or "")
+        if chars > PORTION:
+            yield batch.slice(at, len(texts)), texts
+            at, chars, texts = at + len(texts), 0, []
+    if texts:
+        yield batch.slice(at), texts
+
+
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) by hash, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded, hashes = numbered(x.as_py() for x in batch.column(0))
-            n = np.zeros(len(hashes), np.int64)
-            for c in coded:
-                n += np.bincount(c, minlength=len(hashes)) if len(c) > len(hashes) // 8 else 0
-                if len(c) <= len(hashes) // 8:
-                    np.add.at(n, c, 1)
+            n = np.bincount(np.concatenate([*coded, np.zeros(0, np.int64)]), minlength=len(hashes))
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -97,8 +110,8 @@ def ngrams(docs: DataFrame, vocabulary, *, text_col: str, order: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        for batch in batches:
-            coded, hashes = numbered(x.as_py() for x in batch.column(1))
+        for batch, texts in (p for b in batches for p in portions(b, 1)):
+            coded, hashes = numbered(texts)
             of = vocab.numbers(hashes)
             keys, docs_, counts = [], [], []
             for doc, c in zip(batch.column(0).to_numpy(zero_copy_only=False), coded, strict=True):
@@ -125,8 +138,8 @@ def base_scores(docs: DataFrame, vocabulary, *, id_col: str, text_col: str, orde
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
         unigram = np.log(vocab.counts / max(1, vocab.total))
-        for batch in batches:
-            coded, hashes = numbered(x.as_py() for x in batch.column(2))
+        for batch, texts in (p for b in batches for p in portions(b, 2)):
+            coded, hashes = numbered(texts)
             of = vocab.numbers(hashes)
             # The first word has no context, the second one word of it, and so on.
             scores = [float(unigram[of[c]].sum() + math.log(backoff) * np.minimum(np.arange(len(c)), order - 1).sum()) for c in coded]
