@@ -82,3 +82,11 @@ def size_buckets(blobs: DataFrame, size: str = "size") -> DataFrame:
     """(bucket, n, bytes): small under 1 KiB, medium under 256 KiB, large."""
     bucket = F.when(F.col(size) < 1024, "small").when(F.col(size) < 262144, "medium").otherwise("large")
     return blobs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+
+
+def markdown(compared: DataFrame, name: str, stat: str = "median") -> DataFrame:
+    """(place, line) of a Markdown table of a comparison; the heading has places -2 and -1."""
+    body = compared.select(F.monotonically_increasing_id().alias("place"), F.format_string("| %s | %.2f | %.2f | %+.2f | %+.1f%% |", F.col(name), "before", "after", "delta", "percent").alias("line"))
+    spark = compared.sparkSession
+    heading = spark.createDataFrame([(-2, f"| {name} | before ({stat}) | after ({stat}) | delta | % |"), (-1, "|-|-|-|-|-|")], "place long, line string")
+    return heading.unionByName(body).orderBy("place")

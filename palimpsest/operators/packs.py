@@ -74,3 +74,28 @@ def dead_bytes(blobs: DataFrame, reachable: DataFrame) -> DataFrame:
     """(pack_hash, live_bytes, dead_bytes)."""
     marked = blobs.join(reachable.select("blob_hash").distinct().withColumn("live", F.lit(True)), "blob_hash", "left")
     return marked.groupBy("pack_hash").agg(F.coalesce(F.sum(F.when(F.col("live"), F.col("size"))), F.lit(0)).alias("live_bytes"), F.coalesce(F.sum(F.when(F.col("live").isNull(), F.col("size"))), F.lit(0)).alias("dead_bytes"))
+
+
+PART_LIST = "array<struct<path: string, offset: bigint, size: bigint>>"
+
+
+def part_lists(parts_: DataFrame, *, pack: str = "pack_hash") -> DataFrame:
+    """(pack, json): the parts of each pack as the JSON text of its list; a pack has few parts."""
+    named = F.struct(F.col("offset"), F.format_string("pack-%s.dat.part-%06d", F.col(pack).cast("string"), "part").alias("path"), F.col("size"))
+    listed = F.transform(F.array_sort(F.collect_list(named)), lambda x: F.struct(x["path"].alias("path"), x["offset"].alias("offset"), x["size"].alias("size")))
+    return parts_.groupBy(pack).agg(F.to_json(listed).alias("json"))
+
+
+def part_list_faults(lists: DataFrame, *, json: str = "json") -> DataFrame:
+    """lists with fault: what is wrong with a part list (null: nothing): not a list, empty, a bad name or size, or a gap."""
+    found = lists.withColumn("parts_", F.from_json(json, PART_LIST))
+    whole = F.aggregate("parts_", F.lit(0).cast("long"), lambda end, p: F.when((end >= 0) & (p["offset"] == end) & (p["size"] > 0), end + p["size"]).otherwise(F.lit(-1).cast("long")))
+    bad_name = F.exists("parts_", lambda p: p["path"].isNull() | p["path"].contains("/") | (p["path"] == "") | (p["path"] == ".."))
+    fault = F.when(F.col("parts_").isNull(), "not a list").when(F.size("parts_") == 0, "empty").when(bad_name, "bad name").when(F.coalesce(whole, F.lit(-1)) < 0, "gap")
+    return found.withColumn("fault", fault).drop("parts_")
+
+
+def checked_part_lists(lists: DataFrame, *, json: str = "json") -> DataFrame:
+    """lists, or an error at the first one that is faulty."""
+    faults = part_list_faults(lists, json=json)
+    return faults.where(F.when(F.col("fault").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("part list: "), F.col("fault"))).cast("boolean"))).drop("fault")

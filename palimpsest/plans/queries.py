@@ -449,3 +449,17 @@ def q55_alternating_schedule(read):
 def q56_tree_reachable(read):
     nodes = written(merkle.nodes(_s(read, 0)))
     return merkle.reachable_blobs(merkle.tree_table(nodes), nodes.where("dir = ''"))
+
+
+@query(f"{_PARTS} SELECT pack_hash, cast(to_json(list(struct_pack(path := concat('pack-', pack_hash, '.dat.part-', lpad(cast(part AS varchar), 6, '0')), \"offset\" := \"offset\", size := size) ORDER BY part)) AS varchar) AS json FROM parts GROUP BY pack_hash")
+def q57_part_lists(read):
+    return packs.checked_part_lists(packs.part_lists(packs.parts(_entries(read), PART)))
+
+
+@query(f"{_PARTS} SELECT pack_hash, CASE WHEN count(*) = 1 THEN 'empty' ELSE 'gap' END AS fault FROM parts GROUP BY pack_hash")
+def q58_part_list_faults(read):
+    """Part lists without their first part."""
+    parts = packs.parts(_entries(read), PART)
+    later = packs.part_lists(parts.where("part > 0"))
+    lists = parts.select("pack_hash").distinct().join(later, "pack_hash", "left").withColumn("json", F.coalesce("json", F.lit("[]")))
+    return packs.part_list_faults(lists).select("pack_hash", "fault")

@@ -76,3 +76,17 @@ def test_hard_links(spark):
     assert {r.path: r.read_path for r in states.hardlink_groups(df).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d", "l": "l", "n": "n"}
     order = [r.path for r in states.by_locality(df).collect()]
     assert order[:2] == ["a", "b"] and order[-1] == "n"
+
+
+def test_report_and_faulty_part_lists(spark):
+    from palimpsest.operators import packs
+
+    compared = spark.createDataFrame([("cold_ms", 10.0, 8.0, -2.0, -20.0)], "metric string, before double, after double, delta double, percent double")
+    lines = [r.line for r in benchmarks.markdown(compared, "metric").collect()]
+    assert lines[2] == "| cold_ms | 10.00 | 8.00 | -2.00 | -20.0% |"
+    good = '[{"path":"a","offset":0,"size":3},{"path":"b","offset":3,"size":1}]'
+    bad = ["nonsense", "[]", good.replace('"b"', '"../b"'), good.replace('"offset":3', '"offset":4'), good.replace('"size":1', '"size":0')]
+    rows = spark.createDataFrame([(x,) for x in [good, *bad]], "json string")
+    assert [r.fault for r in packs.part_list_faults(rows).collect()] == [None, "not a list", "empty", "bad name", "gap", "gap"]
+    with pytest.raises(Exception, match="part list"):
+        packs.checked_part_lists(rows).collect()
