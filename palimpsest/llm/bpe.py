@@ -20,17 +20,25 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import portions
+
 #: White space of Unicode, and the pieces that a text is cut into.
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
-#: Words whose encodings a Python worker keeps; beyond it starts afresh.
-CACHED_WORDS = 400_000
+#: Words in one generation of a Python worker's memory; it keeps two, so what is used again stays.
+CACHED_WORDS = 120_000
+#: Pairs of tokens whose compatibility is remembered.
+CACHED_PAIRS = 250_000
+#: Documents, and characters but for the last document, that are encoded at once: their new words make one trie.
+OUT_ROWS, OUT_CHARS = 1024, 3_000_000
+WORD_END = 1 << 16
 
 
 def byte_alphabet() -> list[str]:
@@ -58,7 +66,7 @@ class WordBpe:
         for r, (a, b) in enumerate(pairs):
             x, y, xy = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.rank[x, y], self.made[xy], self.halves[xy] = r, r, (x, y)
-        self.longest = max(map(len, self.vocab))
+        self._build_suffixes()
         self._may_follow: dict[int, bool] = {}
         self._split = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or r"(?!)")
         self._byte = {i: c for i, c in enumerate(byte_alphabet())}
@@ -66,6 +74,43 @@ class WordBpe:
 
         self._spaces, self._pieces = re.compile(f"[{SPACE}]+"), regex.compile(PIECES)
 
+    def _build_suffixes(self) -> None:
+        """An automaton of the tokens' strings: by state, the tokens that what was read ends with, longest first.
+
+        A character that carries the word's end is a symbol of its own.
+        """
+        goto: dict[int, int] = {}
+        own: list[tuple[int, int] | None] = [None]
+        edges: list[list[tuple[int, int]]] = [[]]
+        for t, i in self.vocab.items():
+            ends = len(t) > len(self.end) and t.endswith(self.end)
+            symbols = list(map(ord, t[: -len(self.end)] if ends else t))
+            if ends:
+                symbols[-1] |= WORD_END
+            at = 0
+            for x in symbols:
+                to = goto.get(at << 17 | x)
+                if to is None:
+                    to = goto[at << 17 | x] = len(own)
+                    own.append(None)
+                    edges.append([])
+                    edges[at].append((x, to))
+                at = to
+            own[at] = len(symbols), i
+        fail, outs, level = [0] * len(own), [()] * len(own), [0]
+        while level:
+            below = []
+            for at in level:
+                for x, to in edges[at]:
+                    f = fail[at]
+                    while at and f and f << 17 | x not in goto:
+                        f = fail[f]
+                    fail[to] = goto.get(f << 17 | x, 0) if at else 0
+                    outs[to] = ((own[to],) if own[to] else ()) + outs[fail[to]]
+                    below.append(to)
+            level = below
+        self._goto, self._fail, self._outs = goto, fail, outs
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging left's and right's characters together ends in just these two tokens.
 
@@ -76,6 +121,8 @@ class WordBpe:
         key = left << 20 | right
         known = self._may_follow.get(key)
         if known is None:
+            if len(self._may_follow) >= CACHED_PAIRS:
+                self._may_follow.clear()
             known = self._may_follow[key] = self._boundary_holds(left, right)
         return known
 
@@ -95,28 +142,36 @@ class WordBpe:
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct non-empty words in the byte alphabet, in the depth-first order of their trie."""
-        vocab, end, longest, may_follow = self.vocab, self.end, self.longest, self.may_follow
-        token: list[int] = [-1]  # of the present path, by depth: the last token, and the depth where it starts
+        goto, fail, outs, follows, may_follow = self._goto, self._fail, self._outs, self._may_follow, self.may_follow
+        token: list[int] = [-1]  # of the present path, by depth: the last token, the depth where it starts, the automaton's state
         start: list[int] = [0]
+        state: list[int] = [0]
         before = ""
         for w in sorted(words):
             n, d = len(w), 0
             most = min(n - 1, len(token) - 1)
             while d < most and w[d] == before[d]:
                 d += 1
-            del token[d + 1 :], start[d + 1 :]
-            while d < n - 1:
-                d += 1
-                for s in range(max(0, d - longest), d):
-                    t = vocab.get(w[s:d])
-                    if t is not None and (s == 0 or may_follow(token[s], t)):
-                        token.append(t)
-                        start.append(s)
+            del token[d + 1 :], start[d + 1 :], state[d + 1 :]
+            at = state[d]
+            for d in range(d, n):  # the last character carries the word's end
+                x = ord(w[d]) if d < n - 1 else ord(w[d]) | WORD_END
+                to = goto.get(at << 17 | x)
+                while to is None and at:
+                    at = fail[at]
+                    to = goto.get(at << 17 | x)
+                at = to or 0
+                for size, t in outs[at]:
+                    s = d + 1 - size
+                    if not s:
+                        break
+                    ok = follows.get(token[s] << 20 | t)
+                    if ok or (ok is None and may_follow(token[s], t)):
                         break
-            for s in range(max(0, n - longest), n):  # the last character carries the word's end
-                t = vocab.get(w[s:] + end)
-                if t is not None and (s == 0 or may_follow(token[s], t)):
-                    break
+                if d < n - 1:
+                    token.append(t)
+                    start.append(s)
+                    state.append(at)
             ids = [t]
             while s:
                 ids.append(token[s])
@@ -156,15 +211,47 @@ class WordBpe:
         return " ".join([self.text_of[i] for i in ids])
 
 
-_loaded: dict[str, tuple[WordBpe, dict[str, str], dict[str, str]]] = {}
+class Memory:
+    """What a worker knows of words (pieces of text): their ids as text and their decoding, in two generations."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
+        self.ids: dict[str, str] = {}
+        self.text: dict[str, str] = {}
+        self.old: tuple[dict[str, str], dict[str, str]] = {}, {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """After it, ids and text know all of pieces."""
+        ids, text = self.ids, self.text
+        missing = pieces.difference(ids)
+        if not missing:
+            return
+        if len(ids) + len(missing) > CACHED_WORDS:
+            self.old, self.ids, self.text = (ids, text), {}, {}
+            ids, text = self.ids, self.text
+            missing = pieces
+        old_ids, old_text = self.old
+        new = {}
+        for p in missing:
+            known = old_ids.get(p)
+            if known is None:
+                new[self.bpe.in_bytes(p)] = p
+            else:
+                ids[p], text[p] = known, old_text[p]
+        for w, found in self.bpe.encode_words(new):
+            p = new[w]
+            ids[p], text[p] = " ".join(map(str, found)), self.bpe.decode(found)
+
+
+_loaded: dict[str, Memory] = {}
 
 
-def _worker(spec: str) -> tuple[WordBpe, dict[str, str], dict[str, str]]:
+def _worker(spec: str) -> Memory:
     """The tokenizer and the words encoded so far, once in each Python worker."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = WordBpe(spec), {}, {}
+        _loaded[key] = Memory(WordBpe(spec))
     return _loaded[key]
 
 
@@ -179,37 +266,30 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc
     fields += [T.StructField("input_ids", T.ArrayType(T.IntegerType(), False))] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, ids_of, text_of = _worker(spec.value)
-        sha = hashlib.sha256
-        for batch in batches:
+        memory, sha = _worker(spec.value), hashlib.sha256
+        for batch, texts in portions(batches, 1, rows=OUT_ROWS, chars=OUT_CHARS):
             counts, id_digests, text_digests, lists = [], [], [], []
-            for text in batch.column(1):
+            segmented = [list(memory.bpe.segments(text or "")) for text in texts]
+            memory.learn({p for segments in segmented for pieces, _ in segments for p in pieces})
+            ids_of, text_of = memory.ids.__getitem__, memory.text.__getitem__
+            for segments in segmented:
                 ids, decoded = [], []
-                for pieces, special in bpe.segments(text.as_py() or ""):
-                    new = {p for p in set(pieces) if p not in ids_of}
-                    if new:
-                        if len(ids_of) + len(new) > CACHED_WORDS:
-                            ids_of.clear()
-                            text_of.clear()
-                            bpe._may_follow.clear()
-                            new = set(pieces)
-                        own = {bpe.in_bytes(p): p for p in new}
-                        for w, found in bpe.encode_words(own):
-                            p = own[w]
-                            ids_of[p], text_of[p] = " ".join(map(str, found)), bpe.decode(found)
-                    ids += map(ids_of.__getitem__, pieces)
-                    decoded += map(text_of.__getitem__, pieces)
+                for pieces, special in segments:
+                    ids += map(ids_of, pieces)
+                    decoded += map(text_of, pieces)
                     if special is not None:
                         ids.append(str(special))
-                        decoded.append(bpe.text_of[special])
+                        decoded.append(memory.bpe.text_of[special])
                 joined = " ".join(ids)
                 counts.append(joined.count(" ") + 1 if joined else 0)
                 id_digests.append(sha(joined.encode()).hexdigest())
                 text_digests.append(sha(" ".join(decoded).encode()).hexdigest())
                 if with_ids:
-                    lists.append([int(x) for x in joined.split()])
+                    lists.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string()), *batch.columns[2:]]
-            columns += [pa.array(lists, pa.list_(pa.field("element", pa.int32(), False)))] if with_ids else []
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(offsets, np.concatenate(lists), type=pa.list_(pa.field("element", pa.int32(), False))))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return docs.select(id_col, F.col(text_col), *keep).mapInArrow(run, T.StructType(fields))
