@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import portions
+
 #: Bytes of UTF-8: A-Z become a-z, what isn't a word becomes a blank.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -167,15 +169,29 @@ def item_blocks(items: DataFrame, *, item_id: str, item_text: str, block_words:
 _built: dict[bytes, SuffixAutomaton] = {}
 
 
-def _automaton(key: bytes, block: list[tuple[str, str | None]], window: int, most: int) -> SuffixAutomaton:
+def _automaton(key: bytes, block: list[tuple[str, str | None]], window: int) -> SuffixAutomaton:
+    """The block's automaton; a worker keeps one at a time."""
     if key not in _built:
-        if len(_built) >= most:
-            _built.clear()
+        _built.clear()
         _built[key] = SuffixAutomaton(block, window)
     return _built[key]
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000, carry: tuple[str, ...] = (), clean: bool = False, max_coverage: float = 0.5) -> DataFrame:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+#: Rows and characters that pass through one automaton before the next is taken.
+ROWS, CHARS = 1000, 6_000_000
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000, clean: bool = False, max_coverage: float = 0.5) -> DataFrame:
     """One row a document: id_col, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, spans (of word numbers), longest_match.
 
     With clean, the columns of docs instead: hit words are cut out of the text (again, until no window
@@ -190,54 +206,53 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
         span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
         schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span)), T.StructField("longest_match", T.LongType())])
 
-    def found_in(found: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
-        spans: list[tuple[int, int]] = []
-        ids: set[str] = set()
-        longest = 0
-        for key, block in blocks:  # one automaton after another: at most two are kept
-            s, i, n = _automaton(key, block.value, window, 2).hits(found)
-            spans, ids, longest = spans + s, ids | i, max(longest, n)
-        if len(blocks) > 1:
-            merged: list[tuple[int, int]] = []
-            for a, b in sorted(spans):
-                if merged and merged[-1][1] >= a:
-                    merged[-1] = merged[-1][0], max(merged[-1][1], b)
-                else:
-                    merged.append((a, b))
-            spans = merged
-        return spans, ids, longest
-
-    def cleaned(text: str) -> str | None:
-        """The text without hit words, or None if too many are hit."""
-        while True:
-            found = words(text)
-            spans, _, _ = found_in(found)
-            if not spans:
-                return text
-            if sum(b - a for a, b in spans) > max_coverage * len(found):
-                return None
-            places = [m.span() for m in WORD.finditer(text)]
-            out, at = [], 0
-            for a, b in spans:
-                out.append(text[at : places[a][0]])
-                at = places[b - 1][1]
-            text = "".join([*out, text[at:]])
+    def found_in(found: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str], int]]:
+        """Of each document of a batch: hit stretches, item ids, the longest match. One automaton after another reads the batch."""
+        all_of: list[tuple[list[tuple[int, int]], set[str], int]] = [([], set(), 0)] * len(found)
+        for key, block in blocks:
+            automaton = _automaton(key, block.value, window)
+            for k, (spans, ids, longest) in enumerate(all_of):
+                s, i, n = automaton.hits(found[k])
+                if s:
+                    all_of[k] = merged(spans + s) if spans else s, ids | i, max(longest, n)
+        return all_of
+
+    def cleaned(texts: list[str | None]) -> list[str | None]:
+        """The texts without hit words; None for those of which too many are hit."""
+        texts, rest = list(texts), [k for k, t in enumerate(texts) if t is not None]
+        while rest:
+            found = [words(texts[k]) for k in rest]
+            again = []
+            for k, own, (spans, _, _) in zip(rest, found, found_in(found), strict=True):
+                if not spans:
+                    continue
+                if sum(b - a for a, b in spans) > max_coverage * len(own):
+                    texts[k] = None
+                    continue
+                places = [m.span() for m in WORD.finditer(texts[k])]
+                out, at = [], 0
+                for a, b in spans:
+                    out.append(texts[k][at : places[a][0]])
+                    at = places[b - 1][1]
+                texts[k] = "".join([*out, texts[k][at:]])
+                again.append(k)  # words that have come together may make a window
+            rest = again
+        return texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, given in portions(batches, place, rows=ROWS, chars=CHARS):
             if clean:
-                texts = [x if x is None else cleaned(x) for x in batch.column(place).to_pylist()]
-                stays = pa.array([t is not None or not x.is_valid for t, x in zip(texts, batch.column(place), strict=True)])
+                texts = cleaned(given)
+                stays = pa.array([t is not None or x is None for t, x in zip(texts, given, strict=True)])
                 columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(stays)
                 continue
             rows = []
-            for x in batch.column(place):
-                found = words(x.as_py())
-                spans, ids, longest = found_in(found)
+            found = [words(x) for x in given]
+            for own, (spans, ids, longest) in zip(found, found_in(found), strict=True):
                 ordered = sorted(ids)
-                rows.append((len(found), sum(b - a for a, b in spans), len(ordered), hashlib.sha256(",".join(ordered).encode()).hexdigest(), bool(spans), ordered, [{"start": a, "end": b} for a, b in spans], longest))
-            columns = [pa.array([r[k] for r in rows], pa.string() if k == 3 else pa.bool_() if k == 4 else pa.list_(pa.string()) if k == 5 else pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])) if k == 6 else pa.int64()) for k in range(8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+                rows.append((len(own), sum(b - a for a, b in spans), len(ordered), hashlib.sha256(",".join(ordered).encode()).hexdigest(), bool(spans), ordered, [{"start": a, "end": b} for a, b in spans], longest))
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=schema.names)
 
     return chosen.mapInArrow(run, schema)

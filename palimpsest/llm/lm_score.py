@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import portions
 from .shared import written
 
 BITS = 20
@@ -53,21 +54,8 @@ def numbered(texts: Iterable[str | None]) -> tuple[list[np.ndarray], np.ndarray]
     return coded, np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place)).view(np.int64)
 
 
-#: Characters (but for a last text) whose n-grams are made at once.
-PORTION = 6_000_000
-
-
-def portions(batch: pa.RecordBatch, place: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """A batch in slices of bounded length, each with its texts."""
-    at, chars, texts = 0, 0, []
-    for x in batch.column(place):
-        texts.append(x.as_py())
-        chars += len(texts[-1] or "")
-        if chars > PORTION:
-            yield batch.slice(at, len(texts)), texts
-            at, chars, texts = at + len(texts), 0, []
-    if texts:
-        yield batch.slice(at), texts
+#: Rows and characters whose n-grams are made at once.
+ROWS, CHARS = 10_000, 6_000_000
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -110,7 +98,7 @@ def ngrams(docs: DataFrame, vocabulary, *, text_col: str, order: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
-        for batch, texts in (p for b in batches for p in portions(b, 1)):
+        for batch, texts in portions(batches, 1, rows=ROWS, chars=CHARS):
             coded, hashes = numbered(texts)
             of = vocab.numbers(hashes)
             keys, docs_, counts = [], [], []
@@ -138,7 +126,7 @@ def base_scores(docs: DataFrame, vocabulary, *, id_col: str, text_col: str, orde
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary.value
         unigram = np.log(vocab.counts / max(1, vocab.total))
-        for batch, texts in (p for b in batches for p in portions(b, 2)):
+        for batch, texts in portions(batches, 2, rows=ROWS, chars=CHARS):
             coded, hashes = numbered(texts)
             of = vocab.numbers(hashes)
             # The first word has no context, the second one word of it, and so on.

@@ -110,14 +110,19 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, sample_docs: int) -> n
                         if len(m[0]) < 16 or not DIGIT.search(m[0]):  # others are what is to be judged
                             ordinary.add(m[0])
                     at = max(at, end)
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([secret.counts.tobytes(), ordinary.counts.tobytes()], pa.binary())], names=["model", "counts"])
+        flat = np.concatenate([secret.counts.ravel(), ordinary.counts.ravel()])
+        seen = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(flat[seen].astype(np.int64))], names=["pair", "n"])
 
     secret, ordinary = Markov(), Markov()
     for token in generated_secrets(3000):
         secret.add(token)
-    # A matrix of fixed size comes from each task that read the bounded sample.
-    for row in sample.mapInArrow(count, "model long, counts binary").toLocalIterator():
-        (secret if row.model == 0 else ordinary).counts += np.frombuffer(row.counts).reshape(SIZE, SIZE)
+    # No more rows than the two matrices have places.
+    got = sample.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    flat = np.zeros(2 * SIZE * SIZE)
+    flat[got["pair"].to_numpy()] = got["n"].to_numpy()
+    secret.counts += flat[: SIZE * SIZE].reshape(SIZE, SIZE)
+    ordinary.counts += flat[SIZE * SIZE :].reshape(SIZE, SIZE)
     return (secret.log_probabilities() - ordinary.log_probabilities()).astype(np.float32)
 
 
