@@ -110,7 +110,8 @@ def quality_rules(
     # Rows that are the same document twice have their lines twice: a position counts once.
     removed = hit.dropDuplicates(["k_id", "k_text", "host", "pos"]).groupBy("k_id", "k_text", "host").agg(F.sum("words").alias("all_removed"), F.collect_set("line").alias("removed_lines"))
     same = written(removed.select(F.col("k_id").alias("r_id"), F.col("k_text").alias("r_text"), F.col("host").alias("r_host"), "all_removed", "removed_lines"))
-    joined = base.join(same, F.col("doc_key").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_text")) & F.col("host_key").eqNullSafe(F.col("r_host")), "left")
+    # As many rows as documents with such lines: a merge join at every size.
+    joined = base.join(same.hint("merge"), F.col("doc_key").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_text")) & F.col("host_key").eqNullSafe(F.col("r_host")), "left")
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = 100 * F.col("n_removed_words") > max_removed_percent * F.col("n_words")
     return (

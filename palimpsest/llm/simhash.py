@@ -85,7 +85,8 @@ def links(prints: DataFrame, bucket: int) -> DataFrame:
     # Of three, the third is what the exclusive or of all leaves.
     third = buckets.where("n = 3").select("a", F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b")).alias("c"), "b")
     twos = twos.unionByName(third.select("a", F.col("c").alias("b"))).unionByName(third.select(F.col("c").alias("a"), "b"))
-    more = written(signatures(prints).join(buckets.where("n > 3").select("sig", "n"), "sig"))
+    # Both sides grow with the corpus: a merge join at every size.
+    more = written(signatures(prints).join(buckets.where("n > 3").select("sig", "n").hint("merge"), "sig"))
     few = more.where(F.col("n") <= bucket)
     pairs = few.select("sig", F.col("fp").alias("a")).join(few.select("sig", F.col("fp").alias("b")), "sig").where("a < b").select("a", "b")
     found = twos.unionByName(pairs).where(apart("a", "b") <= MAX_BITS).distinct()
@@ -139,4 +140,4 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     labels = written(components(links(prints.select("fp"), bucket)))
     named = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
     stay = written(named.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row_").alias("stays")))
-    return marked.join(stay, F.col(row) == F.col("stays"), "left_semi").select(*docs.columns)
+    return marked.join(stay.hint("merge"), F.col(row) == F.col("stays"), "left_semi").select(*docs.columns)
