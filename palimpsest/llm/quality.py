@@ -3,8 +3,9 @@
 Lines are normalised (lower case, white space as single blanks, trimmed) and hashed (MD5). For each
 host, a line's documents are counted; copies of one document count once: a document is represented,
 for each of its lines, by the smallest hash among its *other* lines, which copies share and
-documents that only have the line in common don't. Lines in more documents than both limits are
-removed, and a document that loses more than a set share of its words is rejected as depleted.
+documents that only have the line in common don't. That is what the query's SQL counts; documents that
+share a second line count once there, so with `whole_texts`, as in the pipeline, distinct whole texts are
+counted instead. Lines in more documents than both limits are removed, and a document that loses more than a set share of its words is rejected as depleted.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own;
 an empty table gives an empty result; repeated rows are judged alike and count as copies; columns
@@ -76,10 +77,11 @@ def document_lines(docs: DataFrame, *, key: list[Column], host_col: str, text_co
     return one.select(*kept, F.col("x.line").alias("line"), F.col("x.words").alias("words"), F.when(F.get("least", F.lit(0)) != F.col("x.line"), F.get("least", F.lit(0))).otherwise(F.coalesce(F.get("least", F.lit(1)), F.lit(""))).alias("copy_of"))
 
 
-def frequent_lines(docs: DataFrame, *, host_col: str, text_col: str, min_documents: int, min_percent: float) -> DataFrame:
-    """(host, line, n_docs) of the lines above both limits: documents, and per cent of the host's rows."""
-    lines = document_lines(docs, key=[], host_col=host_col, text_col=text_col)
-    counts = lines.select("host", "line", "copy_of").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_documents)
+def frequent_lines(docs: DataFrame, *, host_col: str, text_col: str, min_documents: int, min_percent: float, whole_texts: bool = False) -> DataFrame:
+    """(host, line, n_docs) of the lines above both limits: documents, and per cent of the host's rows. whole_texts: documents are distinct by their whole text."""
+    whole = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("whole")
+    lines = document_lines(docs, key=[whole] if whole_texts else [], host_col=host_col, text_col=text_col)
+    counts = lines.select("host", "line", "whole" if whole_texts else "copy_of").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_documents)
     hosts = docs.groupBy(F.col(host_col).alias("host_")).agg(F.count(F.lit(1)).alias("host_docs"))
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n_docs") * 100 > F.col("host_docs") * min_percent).select("host", "line", "n_docs")
 
@@ -95,6 +97,7 @@ def quality_rules(
     min_documents: int = 20,
     min_percent: float = 1.0,
     max_removed_percent: int = 50,
+    whole_texts: bool = False,
     carry: tuple[Column, ...] = (),
 ) -> DataFrame:
     """One row a document: id_col, the base figures, base_failed, kept, n_removed_words (in lines above the limits), depleted, removed_lines (their hashes, or null)."""
@@ -102,7 +105,7 @@ def quality_rules(
     key = [F.col(id_col).alias("k_id"), F.xxhash64(text).alias("k_text")]
     carried = docs.select(*carry).columns if carry else []
     base = docs.select(F.col(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), host.alias("host_key"), *(c.alias(n) for n, c in base_features(F.col(text_col)).items()), *carry)
-    over = frequent_lines(docs, host_col=host_col, text_col=text_col, min_documents=min_documents, min_percent=min_percent)
+    over = frequent_lines(docs, host_col=host_col, text_col=text_col, min_documents=min_documents, min_percent=min_percent, whole_texts=whole_texts)
     lines = document_lines(docs, key=key, host_col=host_col, text_col=text_col)
     # Written, so that their real sizes decide between a broadcast and a shuffle.
     over = written(over.select(F.col("host").alias("o_host"), F.col("line").alias("o_line")))
