@@ -1,4 +1,8 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares.
+
+A session's tables lie in one folder, named by the application; forgotten() deletes single tables as soon
+as nothing reads them any more, drop_tables() all of a session's once its results have been taken.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +11,53 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATH = "_palimpsest_path"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """spark.checkpoint.dir; a folder of our own only where none is set and driver and executors are one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table of the shared folder, read back: its lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """df as a Parquet table of the shared folder, read back: its lineage ends here, and a lost executor costs no recomputation."""
+    path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def narrowed(table: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a written table, which can still be forgotten."""
+    out = table.select(*columns)
+    setattr(out, _PATH, getattr(table, _PATH, None))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forgotten(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark's cleaner drop the shuffle files of ended jobs."""
+    for df in tables:
+        if path := getattr(df, _PATH, None):
+            _delete(df.sparkSession, path)
+            df.sparkSession._jvm.System.gc()
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of the session; DataFrames that read them can't be evaluated afterwards."""
+    _delete(spark, tables_dir(spark))
