@@ -1,20 +1,23 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Counting: words (runs of non-blanks, A-Z lower-cased) are counted over the whole corpus by 64-bit hash.
-The vocabulary is every word of relative frequency 1/`vocabulary` or more, so it has that many words at
-most whatever the corpus; all others are one unknown word with their summed count. N-grams of word
-numbers (up to three of 20 bits) are keys of 64 bits, exact; their count table is partitioned by key.
-
-Scoring: S(w | context) = c(context w) / c(context) if the n-gram was seen `min_count` times, else
-`backoff` times the score with a shorter context; a word alone has c(w) / total. If an n-gram is in the
-table, so are its shorter parts: its logarithm is that of the n-gram without its first word plus a
-*gain* that depends on the n-gram alone. A document's score is then the sum of its words' backed-off
-unigram scores plus the gains of its n-grams: an equality join of its exploded, counted n-grams with
-the gain table, summed by document.
+Counting: every word (run of non-blanks, A-Z lower-cased) and every n-gram up to `order` words is counted
+over the whole corpus, words by their 64-bit hashes; nothing is left out or merged. Count tables are
+partitioned by key.
+
+Scoring: S(w | context) = c(context w) / c(context) if the n-gram also occurs outside the document that is
+scored (its count exceeds the document's own: a document doesn't vouch for itself), else `backoff` times
+the score with a shorter context; a word alone has c(w) / total. If an n-gram occurs elsewhere, so do its
+parts: its logarithm is that of the n-gram without its first word plus a *gain* that depends on the
+n-gram alone. A document's score is then the sum of its words' backed-off unigram scores plus the gains
+of its n-grams: an equality join of its exploded, counted n-grams with the gain table, summed by
+document. N-grams that occur once can't occur elsewhere, so gains are needed of the others only.
+
+Texts are read once: the first pass writes them as word codes, a list of distinct words for each portion,
+which all further passes read. Each order is counted, joined and summed before the next begins.
 
 Defined results: texts without words (null, empty) score 0 with 0 words; repeated rows count as often
-as they occur and get equal scores; columns not named are ignored; an empty table gives an empty result.
-All texts are counted and scored whole.
+as they occur, vouch for each other and get equal scores; columns not named are ignored; an empty table
+gives an empty result. All texts are counted and scored whole.
 """
 
 from __future__ import annotations
@@ -24,14 +27,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import portions
-from .shared import written
+from .shared import forgotten, written
 
-BITS = 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -54,120 +56,136 @@ def numbered(texts: Iterable[str | None]) -> tuple[list[np.ndarray], np.ndarray]
     return coded, np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place)).view(np.int64)
 
 
-#: Rows and characters whose n-grams are made at once.
-ROWS, CHARS = 10_000, 6_000_000
+#: Rows and characters of a portion of texts, and rows that are given back at once.
+ROWS, CHARS, AT_ONCE = 1_000, 500_000, 200_000
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) by hash, over all documents."""
+def tokens(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """A row for each portion of texts: ids, docs (numbers of rows), sizes (words), codes (places in words), words (hashes)."""
+    numbers = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("docs", numbers), T.StructField("sizes", numbers), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("words", numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded, hashes = numbered(x.as_py() for x in batch.column(0))
-            n = np.bincount(np.concatenate([*coded, np.zeros(0, np.int64)]), minlength=len(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], names=["word", "n"])
+        for batch, texts in portions(batches, 2, rows=ROWS, chars=CHARS):
+            coded, hashes = numbered(texts)
+            ids, rows = (pa.ListArray.from_arrays([0, len(texts)], batch.column(k)) for k in (0, 1))
+            flat = np.concatenate([*coded, np.zeros(0, np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, rows, pa.array([[len(c) for c in coded]], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.int32())), pa.array([hashes], pa.list_(pa.int64()))], names=schema.names)
+
+    return docs.select(F.col(id_col), F.monotonically_increasing_id().alias("doc"), F.col(text_col)).mapInArrow(run, schema)
+
 
-    return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit key of n-grams whose words' hashes are given; of one word, the hash itself."""
+    h = columns[0].astype(np.int64).view(np.uint64)
+    for c in columns[1:]:
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.int64).view(np.uint64)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ h >> np.uint64(29)).view(np.int64) if len(columns) > 1 else h.view(np.int64)
 
 
-class Vocabulary:
-    """Words (hashes, ascending) numbered from 1; 0 is the unknown word. counts: by number."""
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the portions in batches of (docs, sizes, codes, words): the numbers of texts, their sizes, all their words' hashes in order."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rows, sizes, codes, hashes = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(4))
+            yield rows, sizes, hashes[codes]
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
-        order = np.argsort(hashes)
-        self.hashes, self.total = hashes[order], total
-        self.counts = np.concatenate([[max(1, total - int(counts.sum()))], counts[order]])
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 1, 0)
+def starts(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where, in all words of a portion, the k-grams begin that lie in one text; and which text that is."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    last = np.repeat(np.cumsum(sizes), sizes)
+    at = np.flatnonzero(np.arange(len(text)) + k <= last)
+    return at, text[at]
 
 
-def learn_vocabulary(docs: DataFrame, text_col: str, vocabulary: int) -> Vocabulary:
-    counts = written(word_counts(docs, text_col))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # No more rows than `vocabulary`: each has at least that share of the total.
-    kept = counts.where(F.col("n") * vocabulary >= F.lit(total)).toArrow()
-    return Vocabulary(kept["word"].to_numpy(), kept["n"].to_numpy(), total)
+def in_slices(arrays: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(arrays[0]), AT_ONCE):
+        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + AT_ONCE]) for a in arrays], names=names)
 
 
-def ngrams(docs: DataFrame, vocabulary, *, text_col: str, order: int) -> DataFrame:
-    """(doc, gram, n): a row for each distinct n-gram of two words or more of a document."""
+_PORTION = ("docs", "sizes", "codes", "words")
+
+
+def gram_counts(coded: DataFrame, k: int) -> DataFrame:
+    """(w1 ... wk, c) of the k-grams of all texts; of two words or more, those that occur twice or more."""
+    names = [f"w{j + 1}" for j in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary.value
-        for batch, texts in portions(batches, 1, rows=ROWS, chars=CHARS):
-            coded, hashes = numbered(texts)
-            of = vocab.numbers(hashes)
-            keys, docs_, counts = [], [], []
-            for doc, c in zip(batch.column(0).to_numpy(zero_copy_only=False), coded, strict=True):
-                ids = of[c]
-                for k in range(2, min(order, len(ids)) + 1):
-                    key = ids[: len(ids) - k + 1].copy()
-                    for j in range(1, k):
-                        key = key << BITS | ids[j : len(ids) - k + 1 + j]
-                    key, n = np.unique(key, return_counts=True)
-                    keys.append(key | np.int64(k - 2) << 60)
-                    counts.append(n)
-                    docs_.append(np.full(len(key), doc))
-            got = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs_, keys, counts)]
-            for at in range(0, len(got[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(g[at : at + 200_000].astype(np.int64)) for g in got], names=["doc", "gram", "n"])
-
-    return docs.select("doc", text_col).mapInArrow(run, "doc long, gram long, n long")
-
-
-def base_scores(docs: DataFrame, vocabulary, *, id_col: str, text_col: str, order: int, backoff: float) -> DataFrame:
-    """(id_col, doc, n_words, base): the score with every word backed off to its unigram, as far as its context is long."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("base", T.DoubleType())])
+        for _, sizes, own in parts_of(batches):
+            at, _ = starts(sizes, k)
+            columns = [own[at + j] for j in range(k)]
+            _, first, n = np.unique(mixed(columns), return_index=True, return_counts=True)
+            yield from in_slices([*(c[first] for c in columns), n], [*names, "n"])
+
+    counts = coded.select(*_PORTION).mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("c"))
+    return counts if k == 1 else counts.where("c > 1")
+
+
+def gains(counts: DataFrame, shorter: DataFrame | None, k: int, *, total: int, backoff: float) -> DataFrame:
+    """(gram, c, log_s, gain) of counted k-grams: their key, count, score, and what it adds to the backed-off score without the first word."""
+    if k == 1:
+        log_s = F.log(F.col("c") / F.lit(max(1, total)))
+        return counts.select(F.col("w1").alias("gram"), "c", log_s.alias("log_s"), log_s.alias("gain"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary.value
-        unigram = np.log(vocab.counts / max(1, vocab.total))
-        for batch, texts in portions(batches, 2, rows=ROWS, chars=CHARS):
-            coded, hashes = numbered(texts)
-            of = vocab.numbers(hashes)
-            # The first word has no context, the second one word of it, and so on.
-            scores = [float(unigram[of[c]].sum() + math.log(backoff) * np.minimum(np.arange(len(c)), order - 1).sum()) for c in coded]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, coded), pa.int64()), pa.array(scores, pa.float64())], names=schema.names)
-
-    return docs.select(id_col, "doc", text_col).mapInArrow(run, schema)
-
-
-def gains(grams: DataFrame, words_: DataFrame, *, order: int, min_count: int, backoff: float) -> DataFrame:
-    """(gram, gain): log S(gram) less the backed-off score of the gram without its first word."""
-    counts = written(grams.groupBy("gram").agg(F.sum("n").alias("c")).where(F.col("c") >= min_count))
-    mask = (1 << BITS) - 1
-    named = F.broadcast(words_)  # a vocabulary's size at most
-    last = named.select(F.col("number").alias("last"), F.col("log_share").alias("log_last"))
-    first = named.select(F.col("number").alias("first"), F.col("log_count").alias("log_first"))
-    two = counts.where(F.shiftright("gram", 60) == 0).select("gram", F.log("c").alias("log_c"), F.shiftright("gram", BITS).alias("first"), F.col("gram").bitwiseAND(F.lit(mask)).alias("last"))
-    two = two.join(last, "last").join(first, "first").select("gram", "log_c", (F.col("log_c") - F.col("log_first")).alias("log_s"), (F.col("log_c") - F.col("log_first") - F.col("log_last") - math.log(backoff)).alias("gain"))
-    out = two.select("gram", "gain")
-    if order > 2:
-        two = written(two)
-        three = counts.where(F.shiftright("gram", 60) == 1).select("gram", F.log("c").alias("log_c"), F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 60) - 1)), BITS).alias("head"), F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("tail"))
-        three = three.join(two.select(F.col("gram").alias("head"), F.col("log_c").alias("log_head")), "head").join(two.select(F.col("gram").alias("tail"), F.col("log_s").alias("log_tail")), "tail")
-        out = out.unionByName(three.select("gram", (F.col("log_c") - F.col("log_head") - F.col("log_tail") - math.log(backoff)).alias("gain")))
-    return written(out)
-
-
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, backoff: float = 0.4, min_count: int = 2, vocabulary: int = 100_000) -> DataFrame:
+        for batch in batches:
+            w = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(k)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(mixed(x)) for x in (w, w[:-1], w[1:])), batch.column(k)], names=["gram", "head", "tail", "c"])
+
+    keyed = counts.mapInArrow(run, "gram long, head long, tail long, c long")
+    # What occurs twice has parts that occur twice: each is in the table of shorter n-grams. All of these grow with the corpus: merge joins.
+    both = keyed.join(shorter.select(F.col("gram").alias("head"), F.col("c").alias("c_head")).hint("merge"), "head")
+    both = both.join(shorter.select(F.col("gram").alias("tail"), F.col("log_s").alias("log_tail")).hint("merge"), "tail")
+    log_s = F.log(F.col("c") / F.col("c_head"))
+    return both.select("gram", "c", log_s.alias("log_s"), (log_s - F.col("log_tail") - F.lit(math.log(backoff))).alias("gain"))
+
+
+def document_grams(coded: DataFrame, k: int) -> DataFrame:
+    """(doc, gram, n): a row for each distinct k-gram of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sizes, own in parts_of(batches):
+            at, text = starts(sizes, k)
+            key = mixed([own[at + j] for j in range(k)])
+            order = np.lexsort((key, text))
+            key, text = key[order], text[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(key)))
+            yield from in_slices([rows[text[first]], key[first], n], ["doc", "gram", "n"])
+
+    return coded.select(*_PORTION).mapInArrow(run, "doc long, gram long, n long")
+
+
+def added_by(coded: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """(doc, added): the gains of a document's k-grams that occur elsewhere; of words, all their scores."""
+    both = document_grams(coded, k).join(table.select("gram", "c", "gain").hint("merge"), "gram")
+    elsewhere: Column = F.lit(True) if k == 1 else F.col("c") > F.col("n")
+    return both.where(elsewhere).groupBy("doc").agg(F.sum(F.col("n") * F.col("gain")).alias("added"))
+
+
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, backoff: float = 0.4) -> DataFrame:
     """One row a document: id_col, n_words, log_score (natural logarithm of S over all words), mean_log_score (0 without words)."""
-    if not 2 <= order <= 3 or vocabulary >= 1 << BITS:
-        raise ValueError("order 2 or 3, and fewer words than 2**20")
-    spark = docs.sparkSession
-    vocab = learn_vocabulary(docs, text_col, vocabulary)
-    sent = spark.sparkContext.broadcast(vocab)
-    words_ = spark.createDataFrame(pa.table({"number": np.arange(len(vocab.counts)), "log_count": np.log(vocab.counts), "log_share": np.log(vocab.counts / max(1, vocab.total))}))
-    keyed = docs.select(F.col(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col))
-    exploded = ngrams(keyed, sent, text_col=text_col, order=order)
-    table = gains(exploded, words_, order=order, min_count=min_count, backoff=backoff)
-    added = written(exploded.join(table, "gram").groupBy("doc").agg(F.sum(F.col("n") * F.col("gain")).alias("added")))
-    base = written(base_scores(keyed, sent, id_col=id_col, text_col=text_col, order=order, backoff=backoff))
-    # Rows with equal ids and texts were summed together.
-    copies = written(base.groupBy("doc").agg(F.count(F.lit(1)).alias("copies")).join(added, "doc", "left").select("doc", (F.coalesce("added", F.lit(0.0)) / F.col("copies")).alias("added")))
-    score = F.col("base") + F.col("added")
-    return base.join(copies, "doc").select(id_col, "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).otherwise(F.lit(0.0)).alias("mean_log_score"))
+    if order < 1:
+        raise ValueError("order 1 or more")
+    coded = written(tokens(docs, id_col=id_col, text_col=text_col))
+    total = coded.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    table, sums = None, []
+    for k in range(1, order + 1):
+        counts = written(gram_counts(coded, k))
+        longer = written(gains(counts, table, k, total=total, backoff=backoff))
+        forgotten(counts, table)
+        table = longer
+        sums.append(written(added_by(coded, table, k)))
+    forgotten(table)
+    one = coded.select(F.explode(F.arrays_zip("ids", "docs", "sizes")).alias("x")).select(F.col("x.ids").alias(id_col), F.col("x.docs").alias("doc"), F.col("x.sizes").alias("n_words"))
+    # The first word has no context, the second one word of it, and so on.
+    short = F.least(F.col("n_words"), F.lit(order - 1))
+    steps = short * (short - 1) / 2 + (F.col("n_words") - short) * (order - 1)
+    score = steps * F.lit(math.log(backoff))
+    for k, added in enumerate(sums):
+        one = one.join(added.withColumnRenamed("added", f"added_{k}").hint("merge"), "doc", "left")
+        score += F.coalesce(f"added_{k}", F.lit(0.0))
+    score = F.when(F.col("n_words") > 0, score).otherwise(F.lit(0.0))
+    return one.select(id_col, "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).otherwise(F.lit(0.0)).alias("mean_log_score"))

@@ -7,14 +7,14 @@ _WORDS = "list_filter(regexp_split_to_array({text}, '" + _BLANKS + "'), lambda w
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text=f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS ws FROM documents),
 t AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
-c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
-total AS (SELECT sum(n) AS n FROM c),
-vocab AS (SELECT w, c.n FROM c, total WHERE c.n * 100000 >= total.n),
-u AS (SELECT rid, pos, coalesce(vocab.w, '') AS w FROM t LEFT JOIN vocab ON t.w = vocab.w),
-one AS (SELECT w, count(*) AS n FROM u GROUP BY w),
-two AS (SELECT a.w AS w1, b.w AS w2, count(*) AS n FROM u a JOIN u b ON a.rid = b.rid AND b.pos = a.pos + 1 GROUP BY 1, 2),
-s AS (SELECT b.rid, CASE WHEN a.w IS NULL THEN ln(o2.n / total.n) WHEN two.n >= 2 THEN ln(two.n / o1.n) ELSE ln(0.4) + ln(o2.n / total.n) END AS s
-  FROM u b LEFT JOIN u a ON a.rid = b.rid AND b.pos = a.pos + 1 JOIN one o2 ON b.w = o2.w LEFT JOIN one o1 ON a.w = o1.w LEFT JOIN two ON a.w = two.w1 AND b.w = two.w2, total)
+one AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+total AS (SELECT sum(n) AS n FROM one),
+pairs AS (SELECT a.rid, b.pos, a.w AS w1, b.w AS w2 FROM t a JOIN t b ON a.rid = b.rid AND b.pos = a.pos + 1),
+own AS (SELECT rid, w1, w2, count(*) AS n FROM pairs GROUP BY 1, 2, 3),
+two AS (SELECT w1, w2, sum(n) AS n FROM own GROUP BY 1, 2),
+s AS (SELECT t.rid, CASE WHEN t.pos = 1 THEN ln(o2.n / total.n) WHEN two.n > own.n THEN ln(two.n / o1.n) ELSE ln(0.4) + ln(o2.n / total.n) END AS s
+  FROM t JOIN one o2 ON t.w = o2.w LEFT JOIN pairs p ON t.rid = p.rid AND t.pos = p.pos LEFT JOIN one o1 ON p.w1 = o1.w
+  LEFT JOIN own ON own.rid = p.rid AND own.w1 = p.w1 AND own.w2 = p.w2 LEFT JOIN two ON two.w1 = p.w1 AND two.w2 = p.w2, total)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(sum(s), 0), 6) AS log_score, round(CASE WHEN len(ws) = 0 THEN 0 ELSE sum(s) / len(ws) END, 6) AS mean_log_score
 FROM d LEFT JOIN s ON d.rid = s.rid GROUP BY d.rid, d.doc_id, ws
 """
@@ -40,12 +40,9 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, ''
 g AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS k, ws FROM d WHERE len(ws) >= 3),
 twice AS (SELECT rid, k, count(*) OVER (PARTITION BY rid, ws[k], ws[k + 1], ws[k + 2]) AS n FROM g),
 repeats AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(k, k + 3)) AS pos FROM twice WHERE n > 1) GROUP BY rid),
-l AS (SELECT rid, source, x, md5(x) AS line FROM (SELECT rid, source, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '{_BLANKS}', ' ', 'g')) AS x FROM d) WHERE x <> ''),
-least AS (SELECT rid, list_sort(list(DISTINCT line)) AS h FROM l GROUP BY rid),
-c AS (SELECT DISTINCT source, line, CASE WHEN h[1] <> line THEN h[1] ELSE coalesce(h[2], '') END AS copy_of FROM l JOIN least ON l.rid = least.rid),
-n AS (SELECT source, line, count(*) AS n_docs FROM c GROUP BY source, line HAVING count(*) >= 20),
-hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-over_ AS (SELECT n.source, n.line FROM n JOIN hosts ON n.source IS NOT DISTINCT FROM hosts.source WHERE n_docs * 100 > hosts.n),
+l AS (SELECT rid, source, pos, x, md5(x) AS line FROM (SELECT rid, source, pos, trim(regexp_replace(lower(x), '{_BLANKS}', ' ', 'g')) AS x FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)) WHERE x <> ''),
+keys AS (SELECT rid, md5(string_agg(x, chr(10) ORDER BY pos)) AS document FROM l GROUP BY rid),
+over_ AS (SELECT source, line FROM l JOIN keys ON l.rid = keys.rid GROUP BY source, line HAVING count(DISTINCT document) > 20),
 removed AS (SELECT rid, CAST(sum(len(string_split(x, ' '))) AS BIGINT) AS n FROM l JOIN over_ ON l.line = over_.line AND l.source IS NOT DISTINCT FROM over_.source GROUP BY rid),
 f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -1,11 +1,11 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, white space as single blanks, trimmed) and hashed (MD5). For each
-host, a line's documents are counted; copies of one document count once: a document is represented,
-for each of its lines, by the smallest hash among its *other* lines, which copies share and
-documents that only have the line in common don't. That is what the query's SQL counts; documents that
-share a second line count once there, so with `whole_texts`, as in the pipeline, distinct whole texts are
-counted instead. Lines in more documents than both limits are removed, and a document that loses more than a set share of its words is rejected as depleted.
+host, the distinct documents of a line are counted: a document is known by the hash of all its
+normalised lines, so copies of one document count once, and a line that unrelated documents share counts
+each of them. Lines in more documents of a host than the limit are removed (the limit is absolute, so it
+acts alike in hosts of any size), and a document that loses more than a set share of its words is
+rejected as depleted.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own;
 an empty table gives an empty result; repeated rows are judged alike and count as copies; columns
@@ -57,7 +57,7 @@ def base_features(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "n_words": F.size(words_of(text)).cast("long"),
+        "n_words": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long"),
         "word_chars": (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
@@ -66,24 +66,20 @@ def base_features(text: Column) -> dict[str, Column]:
 
 
 def document_lines(docs: DataFrame, *, key: list[Column], host_col: str, text_col: str) -> DataFrame:
-    """A row for each line with words of a document: the key, host, pos, line (MD5), words, copy_of."""
+    """A row for each line with words of a document: the key, host, document (a hash of all its normalised lines), pos, line (MD5), words."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalised_line), lambda x: x != "")
-    hashed = docs.select(*key, F.col(host_col).alias("host"), F.transform(lines, lambda x: F.struct(F.md5(x).alias("line"), (F.regexp_count(x, F.lit(" ")) + 1).alias("words"))).alias("lines"))
-    # The two smallest distinct hashes: for any line, one of them is the smallest of the others.
-    least = F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["line"]))), 1, 2)
-    hashed = hashed.withColumn("least", least)
-    one = hashed.select(*[c for c in hashed.columns if c not in ("lines", "least")], "least", F.posexplode_outer("lines").alias("pos", "x")).where(F.col("pos").isNotNull())  # a plain posexplode would filter by size first and make the lines twice
-    kept = [c for c in one.columns if c not in ("least", "x")]
-    return one.select(*kept, F.col("x.line").alias("line"), F.col("x.words").alias("words"), F.when(F.get("least", F.lit(0)) != F.col("x.line"), F.get("least", F.lit(0))).otherwise(F.coalesce(F.get("least", F.lit(1)), F.lit(""))).alias("copy_of"))
+    hashed = let(lines, lambda found: F.struct(F.md5(F.array_join(found, "\n")).alias("document"), F.transform(found, lambda x: F.struct(F.md5(x).alias("line"), (F.regexp_count(x, F.lit(" ")) + 1).alias("words"))).alias("lines")))
+    some = docs.select(*key, F.col(host_col).alias("host"), hashed.alias("h"))
+    kept = [c for c in some.columns if c != "h"]
+    one = some.select(*kept, "h.document", F.posexplode_outer("h.lines").alias("pos", "x")).where(F.col("pos").isNotNull())  # a plain posexplode would filter by size first and make the lines twice
+    return one.select(*kept, "document", "pos", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
 
 
-def frequent_lines(docs: DataFrame, *, host_col: str, text_col: str, min_documents: int, min_percent: float, whole_texts: bool = False) -> DataFrame:
-    """(host, line, n_docs) of the lines above both limits: documents, and per cent of the host's rows. whole_texts: documents are distinct by their whole text."""
-    whole = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("whole")
-    lines = document_lines(docs, key=[whole] if whole_texts else [], host_col=host_col, text_col=text_col)
-    counts = lines.select("host", "line", "whole" if whole_texts else "copy_of").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_documents)
-    hosts = docs.groupBy(F.col(host_col).alias("host_")).agg(F.count(F.lit(1)).alias("host_docs"))
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n_docs") * 100 > F.col("host_docs") * min_percent).select("host", "line", "n_docs")
+def frequent_lines(docs: DataFrame, *, host_col: str, text_col: str, max_documents: int) -> DataFrame:
+    """(host, line, n_docs) of the lines in more distinct documents of a host than the limit: two partial aggregations, by document and by line."""
+    lines = document_lines(docs, key=[], host_col=host_col, text_col=text_col)
+    once = lines.select("host", "line", "document").distinct()
+    return once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_documents)
 
 
 def quality_rules(
@@ -94,18 +90,16 @@ def quality_rules(
     text_col: str = "text",
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    min_documents: int = 20,
-    min_percent: float = 1.0,
+    max_documents: int = 20,
     max_removed_percent: int = 50,
-    whole_texts: bool = False,
     carry: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """One row a document: id_col, the base figures, base_failed, kept, n_removed_words (in lines above the limits), depleted, removed_lines (their hashes, or null)."""
+    """One row a document: id_col, the base figures, base_failed, kept, n_removed_words (in lines above the limit), depleted, removed_lines (their hashes, or null)."""
     text, host = F.coalesce(F.col(text_col), F.lit("")), F.col(host_col)
     key = [F.col(id_col).alias("k_id"), F.xxhash64(text).alias("k_text")]
     carried = docs.select(*carry).columns if carry else []
     base = docs.select(F.col(id_col).alias("doc_key"), F.xxhash64(text).alias("text_key"), host.alias("host_key"), *(c.alias(n) for n, c in base_features(F.col(text_col)).items()), *carry)
-    over = frequent_lines(docs, host_col=host_col, text_col=text_col, min_documents=min_documents, min_percent=min_percent, whole_texts=whole_texts)
+    over = frequent_lines(docs, host_col=host_col, text_col=text_col, max_documents=max_documents)
     lines = document_lines(docs, key=key, host_col=host_col, text_col=text_col)
     # Written, so that their real sizes decide between a broadcast and a shuffle.
     over = written(over.select(F.col("host").alias("o_host"), F.col("line").alias("o_line")))

@@ -258,22 +258,33 @@ def test_language_model_scores(all_docs, order):
 
     rows = pairs(all_docs)
     texts = [WORD.findall(lower(s)) for _, s in rows]
-    counts = Counter(w for t in texts for w in t)
-    total = sum(counts.values())
-    known = {w for w, n in counts.items() if n * 300 >= total}
-    texts = [[w if w in known else None for w in t] for t in texts]
-    grams = Counter(tuple(t[k : k + n]) for t in texts for n in range(1, order + 1) for k in range(len(t) - n + 1))
+    total = sum(map(len, texts))
+    own = [Counter(tuple(t[k : k + n]) for n in range(1, order + 1) for k in range(len(t) - n + 1)) for t in texts]
+    grams = sum(own, Counter())
 
-    def log_s(g):
+    def log_s(g, mine):
         if len(g) == 1:
             return math.log(grams[g] / total)
-        return math.log(grams[g] / grams[g[:-1]]) if grams[g] >= 2 else math.log(0.4) + log_s(g[1:])
+        return math.log(grams[g] / grams[g[:-1]]) if grams[g] > mine[g] else math.log(0.4) + log_s(g[1:], mine)
 
-    want = [(str(i), len(t), round(sum(log_s(tuple(t[max(0, k - order + 1) : k + 1])) for k in range(len(t))), 5)) for (i, _), t in zip(rows, texts, strict=True)]
-    got = lm_score.score_documents(all_docs, order=order, vocabulary=300).collect()
+    want = [(str(i), len(t), round(sum(log_s(tuple(t[max(0, k - order + 1) : k + 1]), mine) for k in range(len(t))), 5)) for (i, _), t, mine in zip(rows, texts, own, strict=True)]
+    got = lm_score.score_documents(all_docs, order=order).collect()
     same([(str(r.doc_id), r.n_words, round(r.log_score, 5) or 0.0) for r in got], [(i, n, s or 0.0) for i, n, s in want])
 
 
+def test_documents_that_occur_twice_score_apart(spark):
+    """Another copy vouches for a document's n-grams, the document itself doesn't; rare words count as themselves."""
+    import random
+
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(60))
+    rows = [(k, text()) for k in range(40)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    got = {r.doc_id: r.mean_log_score for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[k] for k in range(5)) > max(got[k] for k in range(5, 40)) + 1
+    assert all(abs(got[k] - got[100 + k]) < 1e-9 for k in range(5))
+
+
 OPERATORS = {
     "bpe": lambda d, i: bpe.encode_documents(d, tokenizer_json()),
     "lm_score": lambda d, i: lm_score.score_documents(d),
