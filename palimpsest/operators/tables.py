@@ -6,6 +6,7 @@ as nothing reads them any more, drop_tables() all of a session's once its result
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,12 +51,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of ended jobs, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forgotten(*tables: DataFrame | None) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark's cleaner drop the shuffle files of ended jobs."""
+    """Deletes written tables that nothing reads any more, and the shuffle files of ended jobs."""
     for df in tables:
         if path := getattr(df, _PATH, None):
             _delete(df.sparkSession, path)
-            df.sparkSession._jvm.System.gc()
+    for df in tables:
+        if df is not None:
+            return swept(df.sparkSession)
 
 
 def drop_tables(spark: SparkSession) -> None:
