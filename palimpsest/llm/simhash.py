@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, written
+from .shared import forgotten, free_name, narrowed, written
 
 #: Links differ in this many bits at most; the halves and the lists above follow from it.
 MAX_BITS = 2
@@ -70,7 +70,9 @@ def with_fingerprint(docs: DataFrame, *, text_col: str, name: str, drop_text: bo
 
 def signatures(prints: DataFrame) -> DataFrame:
     """(fp, sig): each half of fp with one bit deleted; sig also tells the half and the bit."""
-    one = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    # A written table of fingerprints is small and has few files: without a new deal few tasks would make 64 rows of each.
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    one = dealt.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
     return one.select("fp", F.expr("(cast(p as bigint) << 32) | (((fp >> (32 * (p div 32))) & 4294967295L) & ~(1L << (p % 32)))").alias("sig"))
 
 
@@ -109,9 +111,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(heard.unionByName(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label")))
         jumped = least.join(least.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"))
         new = written(jumped.join(labels.select("node", F.col("label").alias("old")), "node").select("node", "label", (F.col("label") != F.col("old")).alias("changed")))
-        if new.where("changed").limit(1).count() == 0:
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        forgotten(least, labels)
+        labels = narrowed(new, "node", "label")
+        if new.where("changed").isEmpty():
+            forgotten(both)
+            return labels
 
 
 def grouped(rows: DataFrame, *, id_col: str, bucket: int = 16) -> DataFrame:
