@@ -127,15 +127,17 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, sample_docs: int) -> n
 
 
 def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int]]:
-    spans = []
+    """Tokens outside the base spans (sorted) that are more like random strings; both lists are walked once."""
+    spans, at, reach = [], 0, 0
     for m in TOKEN.finditer(text):
-        token = m[0]
-        if any(a < m.end() and b > m.start() for a, _, b in taken):
-            continue
-        if DIGIT.search(token) and LETTER.search(token):
+        token, start, end = m[0], m.start(), m.end()
+        while at < len(taken) and taken[at][0] < end:  # reach: the furthest end of what starts before this token's end
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach <= start and DIGIT.search(token) and LETTER.search(token):
             c = codes(token)
             if ratio[c[:-1], c[1:]].mean() > threshold:
-                spans.append((m.start(), 3, m.end()))
+                spans.append((start, 3, end))
     return spans
 
 
