@@ -32,8 +32,18 @@ from .batches import portions
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
-#: Words in one generation of a Python worker's memory; it keeps two, so what is used again stays.
-CACHED_WORDS = 120_000
+#: What a tokenizer file must say for the pieces above to be its own.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+#: Words and characters of words in one generation of a Python worker's memory; it keeps two, so what is used again stays.
+CACHED_WORDS, CACHED_CHARS = 120_000, 4_000_000
 #: Pairs of tokens whose compatibility is remembered.
 CACHED_PAIRS = 250_000
 #: Documents, and characters but for the last document, that are encoded at once: their new words make one trie.
@@ -53,6 +63,8 @@ class WordBpe:
 
     def __init__(self, spec: str):
         d = json.loads(spec)
+        if d.get("normalizer") != NORMALIZER or d.get("pre_tokenizer") != PRE_TOKENIZER or d.get("decoder") or d.get("post_processor"):
+            raise ValueError("a tokenizer of another kind: its normaliser, pieces or decoder aren't the built-in ones")
         m = d["model"]
         self.end: str = m["end_of_word_suffix"]
         self.vocab: dict[str, int] = m["vocab"]
@@ -218,6 +230,7 @@ class Memory:
         self.bpe = bpe
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
+        self.chars = 0
         self.old: tuple[dict[str, str], dict[str, str]] = {}, {}
 
     def learn(self, pieces: set[str]) -> None:
@@ -226,8 +239,10 @@ class Memory:
         missing = pieces.difference(ids)
         if not missing:
             return
-        if len(ids) + len(missing) > CACHED_WORDS:
+        self.chars += sum(map(len, missing))
+        if len(ids) + len(missing) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self.old, self.ids, self.text = (ids, text), {}, {}
+            self.chars = sum(map(len, pieces))
             ids, text = self.ids, self.text
             missing = pieces
         old_ids, old_text = self.old

@@ -69,6 +69,28 @@ def test_quality_base_figures(all_docs):
     same([tuple(r) for r in got.collect()], want)
 
 
+def test_quality_limits_met_exactly(spark):
+    """20 distinct documents keep a line, 21 lose it; half of the words may go, more deplete; repeated windows up to half; 50 words."""
+    prose = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(k, f"{prose(k)}\ntwenty of these", "a") for k in range(20)] + [(100 + k, f"{prose(100 + k)}\ntwenty one of these", "a") for k in range(21)]
+    rows += [(20 + k, f"{prose(0)}\ntwenty of these", "a") for k in range(5)]  # copies of the first
+    line = " ".join(f"c{j}" for j in range(30))
+    rows += [(200 + k, f"{prose(200 + k, 30)}\n{line}", "b") for k in range(30)] + [(300, f"{prose(300, 29)}\n{line}", "b")]
+    rows += [(400, prose(400, 50), "c"), (401, prose(401, 49), "c"), (402, None, None), (403, "", "c")]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k].n_removed_words == 0 for k in range(25)) and all(got[100 + k].n_removed_words == 4 for k in range(21))
+    assert all(got[200 + k].n_removed_words == 30 and got[200 + k].kept for k in range(30)) and got[300].depleted and not got[300].kept
+    assert got[400].kept and got[401].base_failed and got[402].base_failed and got[403].base_failed
+
+
+def test_quality_counts_documents_not_surrogates(spark):
+    """Two lines that 200 different documents of a host share are in 200 documents each."""
+    rows = [(k, f"line one of all\n{' '.join(f'w{k}x{j}' for j in range(60))}\nline two of all", "h") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.frequent_lines(docs, host_col="source", text_col="text", max_documents=20).collect()
+    assert [r.n_docs for r in got] == [200, 200]
+
+
 def test_quality_lines_above_the_limits(spark):
     """A line in many documents of a host goes, copies count once, and what is mostly such lines is depleted."""
     prose = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
@@ -148,14 +170,68 @@ def test_language_id(all_docs):
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in got)
 
 
-def test_language_id_features_of_pieces(monkeypatch):
-    import numpy as np
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 64])
+def test_language_id_features_of_pieces(monkeypatch, piece):
+    """Pieces of any length give the features of the whole."""
+    for text in ("Über 12 the  end, ça va?" * 40, "  12 .. ab", "a", "ΣΑΣ ΟΔΟΣ! 5", "x" * 200, "1234567 .,; " * 9 + "z", "no letter follows 12345"):
+        monkeypatch.setattr(language_id, "PIECE", 1 << 19)
+        whole = Counter(x for f in language_id.features(text, 1 << 16) for x in f.tolist())
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert Counter(x for f in language_id.features(text, 1 << 16) for x in f.tolist()) == whole
+    assert not list(language_id.features("12 !? 3", 1 << 16)) and not list(language_id.features("", 1 << 16))
+
+
+def plain_features(text):
+    """The n-grams' hashes, by plain integers."""
+    text = "".join(c if c.isalpha() else " " for c in text.replace("Σ", "σ").lower())
+    text = " " + " ".join(text.split()) + " "
+    out = []
+    for n in (1, 2, 3):
+        for k in range(len(text) - n + 1):
+            h = n
+            for c in text[k : k + n]:
+                h = ((h ^ ord(c)) * 0x9E3779B1) & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append(h & 65535)
+    return out if text.strip() else []
+
+
+def test_language_id_against_brute_force(spark, all_docs, monkeypatch):
+    """Every prediction and score by plain naive Bayes; a tie goes to the first language."""
+    import math
+    import zlib
 
-    text = "Über 12 the  end, ça va?" * 40
-    whole = np.concatenate(list(language_id.features(text, 1 << 16)))
-    monkeypatch.setattr(language_id, "PIECE", 7)
-    parts = np.concatenate(list(language_id.features(text, 1 << 16)))
-    assert len(whole) and len(parts) >= len(whole)
+    monkeypatch.setattr(language_id, "AT_ONCE", 1000)
+    texts = {1: "aa bb", 2: "zz yy", 3: "one two", 4: "eins zwei"}
+    for docs in (all_docs, spark.createDataFrame([(k, "qq" if k % 2 else texts[1 + k // 2 % 4], ("b", "a")[k // 2 % 2]) for k in range(40)], "doc_id long, text string, lang string")):
+        rows = docs.select("doc_id", "text", "lang").collect()
+        held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 0
+        learned = [r for r in rows if r.lang is not None and not held(r.doc_id)]
+        languages = sorted({r.lang for r in learned})
+        prior = {x: math.log(sum(r.lang == x for r in learned) / len(learned)) for x in languages}
+        counts = {x: Counter(f for r in learned if r.lang == x and r.text for f in plain_features(r.text)) for x in languages}
+        sums = {x: sum(c.values()) + 0.5 * 65536 for x, c in counts.items()}
+        want = {}
+        for r in rows:
+            of = plain_features(r.text or "")
+            total = [prior[x] + sum(math.log((counts[x][f] + 0.5) / sums[x]) for f in of) for x in languages]
+            best = max(range(len(languages)), key=lambda k: (total[k], -k))
+            want[r.doc_id, r.text] = (languages[best], 1 / sum(math.exp(t - total[best]) for t in total)) if of else ("und", 0.0)
+        texts_of = defaultdict(set)
+        for r in rows:
+            texts_of[r.doc_id].add(r.text)
+        for r in language_id.identify(docs).collect():
+            assert r.held_out == held(r.doc_id)
+            if len(texts_of[r.doc_id]) == 1:
+                lang, score = want[r.doc_id, next(iter(texts_of[r.doc_id]))]
+                assert abs(r.score - score) < 0.01 and (r.lang_pred == lang or abs(score - 0.5) < 0.01)
+
+
+def test_many_languages(spark):
+    """More languages than the matrix has room for at full width; those without text are never predicted."""
+    rows = [(k, f"{'abcdefghijklmnopqrstuvwxyz'[k % 26]} " * 9, f"l{k % 300:03}") for k in range(1500)] + [(5000, None, "empty"), (5001, None, "empty")]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_cells=1 << 20)
+    assert got.count() == len(rows) and got.where("lang_pred = 'empty'").count() == 0
 
 
 def test_nothing_to_learn_from(spark):
@@ -221,6 +297,61 @@ def test_markov_models_tell_secrets_from_identifiers(spark, small_docs):
     assert secret_scan.redacted("abcdef", [(1, 0, 3), (2, 1, 4)], "*") == "a*ef"
 
 
+def test_markov_spans_against_brute_force(spark, all_docs):
+    """Both models and every token's ratio by plain dictionaries, on texts with planted random strings."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    planted = [(20_000 + k, " ".join(["see", "".join(rng.choices(secret_scan.ALPHABET[:62], k=rng.randrange(16, 40))), "documentation_version_2024", f"user{k}AccountIdentifier7", "token=abcdefghijklmnop12"]), "en", "s", 1) for k in range(60)]
+    docs = all_docs.unionByName(spark.createDataFrame(planted, all_docs.schema))
+    place = {c: k for k, c in enumerate(secret_scan.ALPHABET)}
+    secret, ordinary = Counter(), Counter()
+
+    def add(counts, token):
+        c = [place.get(x, 68) for x in token]
+        counts.update(zip(c, c[1:], strict=False))
+
+    for token in secret_scan.generated_secrets(3000):
+        add(secret, token)
+    texts = [(i, s or "") for i, s in pairs(docs)]
+    for _, s in texts:
+        taken = secret_scan.base_spans(s)
+        for a, _, b in taken:
+            add(secret, s[a:b].split("=")[-1].strip("\"' :"))
+        at = 0
+        for a, _, b in [*taken, (len(s), 0, len(s))]:
+            for m in re.finditer(r"[A-Za-z][A-Za-z0-9_.-]{3,}", s[at : max(at, a)]):
+                if len(m[0]) < 16 or not re.search("[0-9]", m[0]):
+                    add(ordinary, m[0])
+            at = max(at, b)
+
+    def logs(counts):
+        overall = [0.5] * 69
+        after = [0] * 69
+        for (x, y), n in counts.items():
+            overall[y] += n
+            after[x] += n
+        whole = sum(overall)
+        return lambda x, y: math.log((counts[x, y] + 20 * overall[y] / whole) / (after[x] + 20))
+
+    p, q = logs(secret), logs(ordinary)
+    want, near = [], 0
+    for i, s in texts:
+        base = secret_scan.base_spans(s)
+        spans = list(base)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", s):
+            if not any(a < m.end() and b > m.start() for a, _, b in base) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                c = [place.get(x, 68) for x in m[0]]
+                mean = sum(p(x, y) - q(x, y) for x, y in zip(c, c[1:], strict=False)) / (len(c) - 1)
+                near += abs(mean - 3.5) < 1e-4
+                if mean > 3.5:
+                    spans.append((m.start(), 3, m.end()))
+        want.append((i, secret_scan.listed(spans)))
+    assert not near and sum("markov" in w for _, w in want) > 40
+    same([(r.doc_id, r.spans) for r in secret_scan.scan_secrets(docs).collect()], want)
+
+
 def test_personal_data(all_docs):
     digits = lambda m: re.sub("[^0-9]", "", m)
 
