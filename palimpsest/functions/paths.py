@@ -46,5 +46,14 @@ def is_excluded(path: Column, include_deps: bool = False) -> Column:
     return has_component(path, EXCLUDED if include_deps else EXCLUDED + DEPENDENCIES)
 
 
+#: Fixed value: how the parts of a pack are named.
+PART_NAME = "pack-%s.dat.part-%06d"
+
+
 def part_name(pack: Column, number: Column) -> Column:
-    return F.format_string("pack-%s.dat.part-%06d", pack, number)
+    return F.format_string(PART_NAME, pack.cast("string"), number)
+
+
+def pack_of_part(name: Column) -> Column:
+    """The pack that a part's or a whole pack's file name tells; null for other names."""
+    return F.nullif(F.regexp_extract(name, r"^pack-(.+)\.dat(?:\.part-[0-9]{6,})?$", 1), F.lit(""))

@@ -26,15 +26,16 @@ def directories(state: DataFrame) -> DataFrame:
 def nodes(state: DataFrame) -> DataFrame:
     """(dir, depth, tree_hash, entries) of all directories of a state (path, blob_hash, size, mode).
 
-    One round for each level, deepest first; a level is written before the next reads it.
+    One round for each level, deepest first; a level is written before the next reads it. Files are
+    written by depth, so a round reads its own level's files only.
     """
-    files = written(state.select(paths.parent(F.col("path")).alias("dir"), paths.base_name(F.col("path")).alias("name"), F.when(F.col("mode").bitwiseAND(F.lit(0o170000)) == 0o120000, "symlink").otherwise("file").alias("entry_type"), F.col("blob_hash").alias("hash"), F.col("size").cast("long").alias("size"), F.col("mode").cast("int").alias("mode")))
+    files = written(state.select(paths.depth(paths.parent(F.col("path"))).alias("level"), paths.parent(F.col("path")).alias("dir"), paths.base_name(F.col("path")).alias("name"), F.when(F.col("mode").bitwiseAND(F.lit(0o170000)) == 0o120000, "symlink").otherwise("file").alias("entry_type"), F.col("blob_hash").alias("hash"), F.col("size").cast("long").alias("size"), F.col("mode").cast("int").alias("mode")), by="level")
     dirs = written(directories(state))
     deepest = dirs.agg(F.max("depth")).first()[0]
     done, children = None, None
     for level in range(deepest if deepest is not None else -1, -1, -1):
         here = dirs.where(F.col("depth") == level).select("dir")
-        entries = files.join(here, "dir", "left_semi")
+        entries = files.where(F.col("level") == level).drop("level")
         if children is not None:
             entries = entries.unionByName(children)
         grouped = here.join(entries.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("entries")), "dir", "left")

@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import part_name
+from .ranks import sums_before
+
 #: Bytes before the first entry, and before each entry's data.
 HEADER, ENTRY = 8, 24
 
 
 def with_offsets(entries: DataFrame, *, pack: str = "pack_hash", order: str = "blob_hash", length: str = "compressed_len") -> DataFrame:
-    """entries with their offset in the pack, in the order of their hashes."""
-    before = Window.partitionBy(pack).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("offset", (F.coalesce(F.sum(F.col(length) + ENTRY).over(before), F.lit(0)) + HEADER).cast("long"))
+    """entries with their offset in the pack, in the order of their hashes; a pack may be any share of the rows."""
+    out = sums_before(entries, [pack], [F.col(order)], F.col(length) + ENTRY, "offset")
+    return out.withColumn("offset", F.col("offset") + HEADER)
+
+
+def with_offsets_of_bounded(entries: DataFrame) -> DataFrame:
+    """The same of packs of bounded size, in one window for each."""
+    before = Window.partitionBy("pack_hash").orderBy("blob_hash").rowsBetween(Window.unboundedPreceding, -1)
+    return entries.withColumn("offset", (F.coalesce(F.sum(F.col("compressed_len") + ENTRY).over(before), F.lit(0)) + HEADER).cast("long"))
 
 
 def part_span(entries: DataFrame, part_bytes: int) -> DataFrame:
@@ -48,7 +57,8 @@ def contiguity(parts_: DataFrame, *, pack: str = "pack_hash") -> DataFrame:
 
 def located(needed: DataFrame, blobs: DataFrame, *, strict: bool = False) -> DataFrame:
     """Distinct needed hashes with their pack; found tells whether there is one. strict: a missing one is an error."""
-    hits = needed.select("blob_hash").distinct().join(blobs.select("blob_hash", "pack_hash"), "blob_hash", "left")
+    first = blobs.groupBy("blob_hash").agg(F.min("pack_hash").alias("pack_hash"))  # of several packs with a blob, the first
+    hits = needed.select("blob_hash").distinct().join(first, "blob_hash", "left")
     if strict:
         return hits.withColumn("pack_hash", F.coalesce("pack_hash", F.raise_error(F.concat(F.lit("no stored blob: "), F.col("blob_hash").cast("string"))).cast("string")))
     return hits.withColumn("found", F.col("pack_hash").isNotNull())
@@ -76,12 +86,39 @@ def dead_bytes(blobs: DataFrame, reachable: DataFrame) -> DataFrame:
     return marked.groupBy("pack_hash").agg(F.coalesce(F.sum(F.when(F.col("live"), F.col("size"))), F.lit(0)).alias("live_bytes"), F.coalesce(F.sum(F.when(F.col("live").isNull(), F.col("size"))), F.lit(0)).alias("dead_bytes"))
 
 
+def pieces(blobs: DataFrame, part_bytes: int | None) -> DataFrame:
+    """blobs (pack_hash, blob_hash, offset, compressed_len, data) cut at the borders of parts: part, and the bytes of data in it; without a size, parts are whole packs."""
+    if part_bytes is None:
+        return blobs.withColumn("part", F.lit(0).cast("long"))
+    start = F.col("offset") + ENTRY
+    last = F.greatest(F.floor(start / part_bytes), F.floor((start + F.col("compressed_len") - 1) / part_bytes))
+    each = blobs.withColumn("part", F.explode(F.sequence(F.floor(start / part_bytes), last)))
+    begin, end = F.greatest(F.col("part") * part_bytes, start), F.least((F.col("part") + 1) * part_bytes, start + F.col("compressed_len"))
+    return each.withColumn("data", F.substring("data", (begin - start + 1).cast("int"), (end - begin).cast("int")))
+
+
+def rejoined(pieces_: DataFrame) -> DataFrame:
+    """The blobs of such pieces: a range read across borders of parts."""
+    whole = pieces_.groupBy("pack_hash", "blob_hash").agg(F.min("offset").alias("offset"), F.min("compressed_len").alias("compressed_len"), F.array_sort(F.collect_list(F.struct("part", "data"))).alias("all"))
+    return whole.withColumn("data", F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["data"]))).drop("all")
+
+
+def pack_numbers(new: DataFrame, n_packs: int) -> DataFrame:
+    """new (blob_hash, size) with the number of a pack: equal ranges of the hashes' hashes, so packs are about equally large."""
+    return new.withColumn("pack", F.pmod(F.xxhash64("blob_hash"), F.lit(n_packs)))
+
+
+def pack_names(numbered: DataFrame) -> DataFrame:
+    """(pack, pack_hash): a pack is named by the hash of its entries' hashes in order; a pack has a bounded number of them."""
+    return numbered.groupBy("pack").agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("blob_hash")), ",")), 1, 16).alias("pack_hash"))
+
+
 PART_LIST = "array<struct<path: string, offset: bigint, size: bigint>>"
 
 
 def part_lists(parts_: DataFrame, *, pack: str = "pack_hash") -> DataFrame:
     """(pack, json): the parts of each pack as the JSON text of its list; a pack has few parts."""
-    named = F.struct(F.col("offset"), F.format_string("pack-%s.dat.part-%06d", F.col(pack).cast("string"), "part").alias("path"), F.col("size"))
+    named = F.struct(F.col("offset"), part_name(F.col(pack), F.col("part")).alias("path"), F.col("size"))
     listed = F.transform(F.array_sort(F.collect_list(named)), lambda x: F.struct(x["path"].alias("path"), x["offset"].alias("offset"), x["size"].alias("size")))
     return parts_.groupBy(pack).agg(F.to_json(listed).alias("json"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 #: The file-type bits of a mode, and those of a symbolic link.
 TYPE_BITS, SYMLINK = 0o170000, 0o120000
 IDENTITY = ("mtime_secs", "mtime_nanos", "size", "inode", "mode")
@@ -72,12 +74,20 @@ def hardlink_groups(files: DataFrame) -> DataFrame:
 
 
 def by_locality(files: DataFrame) -> DataFrame:
+    """files in the order of inodes (null last) and paths."""
     return files.orderBy(F.col("inode").asc_nulls_last(), "path")
 
 
+def locality_places(files: DataFrame) -> DataFrame:
+    """files with their place from 1 in that order."""
+    placed = ranked(files, [], [F.col("inode").asc_nulls_last(), F.col("path")], "place_")
+    return placed.withColumn("place", F.col("place_") + 1).drop("place_")
+
+
 def first_occurrences(state: DataFrame) -> DataFrame:
-    """state with is_new: whether a row has the least path of its content."""
-    return state.withColumn("is_new", F.row_number().over(Window.partitionBy("blob_hash").orderBy("path")) == 1)
+    """state with is_new: whether a row has the least path of its content, by a grouped minimum joined back (a content may be any share of the rows)."""
+    first = state.groupBy(F.col("blob_hash").alias("f_hash")).agg(F.min("path").alias("f_path"))
+    return state.join(first, F.col("blob_hash").eqNullSafe(F.col("f_hash"))).withColumn("is_new", F.col("path") == F.col("f_path")).drop("f_hash", "f_path")
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

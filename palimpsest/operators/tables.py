@@ -30,10 +30,13 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table of the shared folder, read back: its lineage ends here, and a lost executor costs no recomputation."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a Parquet table of the shared folder, read back: its lineage ends here, and a lost executor costs no recomputation.
+
+    by: a column of few values whose rows lie in folders of their own.
+    """
     path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
     return out

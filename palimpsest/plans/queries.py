@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, paths, text
 from ..operators import benchmarks, catalog, merkle, packs, states
-from ..operators.tables import written
+from ..operators.tables import tables_dir, written
 from ..sources import ignore, logs
 from ..sources import states as derived
 
@@ -147,11 +148,10 @@ def q13_hardlink_groups(read):
     return states.hardlink_groups(files).select("path", "read_path", F.col("links").cast("long").alias("links"))
 
 
-@query(f"{_LINKS} SELECT path, inode, row_number() OVER (ORDER BY inode ASC NULLS LAST, path) AS place FROM g ORDER BY place LIMIT 50")
+@query(f"{_LINKS} SELECT path, inode, row_number() OVER (ORDER BY inode ASC NULLS LAST, path) AS place FROM g")
 def q14_locality_order(read):
     files = _s(read, 0).select("path", F.when(F.col("doc_id") % 13 != 0, F.floor(F.col("doc_id") / 3)).alias("inode"))
-    first = states.by_locality(files).limit(50)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("inode").asc_nulls_last(), "path")).cast("long"))
+    return states.locality_places(files)
 
 
 _ENTRIES = f"{_STATES}, e0 AS (SELECT blob_hash, max(size) AS compressed_len, substr(blob_hash,1,1) AS pack_hash FROM s0 GROUP BY blob_hash), e AS (SELECT *, CAST(8 + coalesce(sum(24 + compressed_len) OVER (PARTITION BY pack_hash ORDER BY blob_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM e0)"
@@ -398,23 +398,23 @@ def q48_label_sanitize(read):
     return read("part").select("p_partkey", text.label(raw).alias("label"))
 
 
-@query()
+@query('SELECT count(text) AS n, count(DISTINCT text) AS "distinct" FROM documents')
 def q49_xxh3_distinct(read):
-    """Rows and distinct contents by XXH3-128: no SQL function of DuckDB."""
+    """Rows and distinct contents by XXH3-128."""
     hashed = read("documents").select(hashing.xxh3_hex(F.encode("text", "UTF-8")).alias("h"))
     return hashed.agg(F.count("h").alias("n"), F.countDistinct("h").alias("distinct"))
 
 
-@query()
+@query("SELECT concat('n', cast(s_nationkey AS varchar), '/', replace(s_name, '#', '_'), '.txt') AS relative_path, CAST(strlen(s_name) AS BIGINT) AS size, md5(s_name) AS blob_hash FROM supplier")
 def q50_workspace_scan(read):
-    """A scan of this package's own files: a file tree, not a table."""
-    import os
+    """The suppliers as a tree of files, in the shared folder, scanned and hashed."""
+    from ..sources.generators import write_files
+    from ..sources.workspace import read_workspace, with_hash
 
-    from ..sources.workspace import read_workspace
-
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    spark = read("region").sparkSession
-    return read_workspace(spark, root).where("not is_symlink and relative_path like '%.py'").select("relative_path", "size").orderBy("relative_path")
+    rows = read("supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), F.regexp_replace("s_name", "#", "_"), F.lit(".txt")).alias("path"), F.encode("s_name", "UTF-8").alias("content"))
+    root = f"{tables_dir(rows.sparkSession).removeprefix('file:')}/files-{uuid.uuid4().hex}"
+    write_files(rows, root)
+    return with_hash(read_workspace(rows.sparkSession, root), root).select("relative_path", "size", "blob_hash")
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, true AS same FROM documents")
@@ -463,3 +463,130 @@ def q58_part_list_faults(read):
     later = packs.part_lists(parts.where("part > 0"))
     lists = parts.select("pack_hash").distinct().join(later, "pack_hash", "left").withColumn("json", F.coalesce("json", F.lit("[]")))
     return packs.part_list_faults(lists).select("pack_hash", "fault")
+
+
+_DOCS = _STATES.replace("FROM documents)", "FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)")
+
+
+def _stored(read):
+    """A store with the documents' states 0 and 1, and the ids of its two snapshots."""
+    from .store import Store
+
+    docs = read("documents").where("text is not null and lang is not null and source is not null")
+    store = Store(docs.sparkSession, f"{tables_dir(docs.sparkSession)}/store-{uuid.uuid4().hex}", pack_bytes=1 << 20)
+    first, second = (store.save(derived.document_files(docs, k), f"state {k}", pack_chunk_bytes=(None, PART)[k])["snapshot_id"] for k in (0, 1))
+    return store, first, second
+
+
+@query(f"{_DOCS} SELECT path, blob_hash, size, CAST(mode AS INT) AS mode FROM s0")
+def q59_store_manifest(read):
+    """What a store says of its first snapshot after a second one."""
+    store, first, _ = _stored(read)
+    return store.manifest(first)
+
+
+@query(f"{_DOCS} SELECT DISTINCT blob_hash, size FROM (SELECT blob_hash, size FROM s0 UNION ALL SELECT blob_hash, size FROM s1)")
+def q60_store_blob_index(read):
+    store, _, _ = _stored(read)
+    return store.table("blob_index").select("blob_hash", "size")
+
+
+@query(f"{_DOCS}, d AS ({_diff_sql('t.blob_hash <> c.blob_hash OR ' + _LINK)}) SELECT s0.path, CAST(s0.mode AS INT) AS mode, s0.blob_hash, s0.size FROM d JOIN s0 ON d.path = s0.path WHERE status IN ('add', 'change')")
+def q61_store_restored(read):
+    """The contents that a restore of the first snapshot writes over the second one's state; contents of the second are cut into parts."""
+    store, first, second = _stored(read)
+    data = store.restored(first, store.manifest(second))
+    return data.select("path", "mode", F.md5("data").alias("blob_hash"), F.octet_length("data").cast("long").alias("size"))
+
+
+@query(f"{_DOCS} SELECT DISTINCT blob_hash, size FROM s1")
+def q62_store_after_delete(read):
+    """What is left of the blobs once the first snapshot is gone, told by their contents."""
+    store, first, second = _stored(read)
+    store.delete(first)
+    data = store.restored(second)
+    return data.select(F.md5("data").alias("blob_hash"), F.octet_length("data").cast("long").alias("size")).distinct()
+
+
+@query(f"{_DOCS} SELECT 'state 0' AS message, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_bytes, count(DISTINCT blob_hash) AS new_objects FROM s0 UNION ALL SELECT 'state 1', count(*), CAST(sum(size) AS BIGINT), (SELECT count(DISTINCT blob_hash) FROM s1 WHERE blob_hash NOT IN (SELECT blob_hash FROM s0)) FROM s1")
+def q63_store_snapshots(read):
+    store, _, _ = _stored(read)
+    return store.list().select("message", "total_files", "total_bytes", "new_objects")
+
+
+_PHASES = "WITH e AS (SELECT event_id, event_id % 500 AS a, event_id % 60 AS b FROM events)"
+
+
+@query(f"{_PHASES} SELECT event_id, unnest(['phases', 'index', 'index', 'index', 'index', 'phases', 'metadata', 'resources']) AS section, unnest(['index_total_ms', 'load_ms', 'check_ms', 'cached', 'new', 'build_tree_ms', 'tree_dirs', 'peak_rss_kb']) AS metric, CAST(unnest([a, b, a, b, a, b, a, event_id]) AS DOUBLE) AS value FROM e")
+def q64_phase_lines(read):
+    lines = F.array(
+        F.format_string("  [index] %dms (load: %dms, check: %dms, cached: %d, new: %d)", "a", "b", "a", "b", "a"),
+        F.format_string("[build_tree] %dms (%d dirs)", "b", "a"),
+        F.format_string("peak_rss_kb=%d", "event_id"),
+        F.lit("a line of another kind 5ms"),
+    )
+    e = read("events").select("event_id", (F.col("event_id") % 500).alias("a"), (F.col("event_id") % 60).alias("b"))
+    return benchmarks.phases(e.select("event_id", F.explode(lines).alias("value")))
+
+
+_RUNS = "WITH s AS (SELECT event_type AS scenario, user_id % 7 AS run, 'phases' AS section, CASE WHEN event_id % 2 = 0 THEN 'scan_ms' ELSE 'total' END AS metric, value FROM events)"
+
+
+def _runs(read) -> DataFrame:
+    return read("events").select(F.col("event_type").alias("scenario"), (F.col("user_id") % 7).alias("run"), F.lit("phases").alias("section"), F.when(F.col("event_id") % 2 == 0, "scan_ms").otherwise("total").alias("metric"), "value")
+
+
+@query(f"{_RUNS}, r AS (SELECT scenario, count(DISTINCT run) AS ab_run_count FROM s GROUP BY 1) SELECT s.scenario, section, metric, CAST(count(value) AS DOUBLE) AS samples, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, max(value) AS most, any_value(ab_run_count) AS ab_run_count FROM s JOIN r ON s.scenario = r.scenario GROUP BY 1, 2, 3")
+def q65_runs_rolled_up(read):
+    up = benchmarks.rolled_up(_runs(read))
+    return up.select("scenario", "section", "metric", "samples", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.col("min").alias("least"), F.col("max").alias("most"), "ab_run_count")
+
+
+@query(f"{_RUNS} SELECT scenario, count(value) AS runs, round(avg(value), 6) AS mean, max(value) AS peak FROM s WHERE metric = 'scan_ms' GROUP BY 1")
+def q66_resource_peaks(read):
+    return benchmarks.peaks(_runs(read), ["scenario"], "scan_ms").select("scenario", "runs", F.round("mean", 6).alias("mean"), "peak")
+
+
+@query(f"{_SAMPLES}, m AS (SELECT metric, median(value) AS median, avg(value) AS mean FROM s WHERE side = 'before' AND metric <> 'view' GROUP BY 1), a AS (SELECT metric, max(value) AS average FROM s WHERE side = 'after' GROUP BY 1) SELECT coalesce(m.metric, a.metric) AS metric, round(coalesce(median, average, mean), 6) AS shown FROM m FULL OUTER JOIN a ON m.metric = a.metric")
+def q67_metric_resolved(read):
+    s = derived.bench_samples(read("events"))
+    averages = s.where("side = 'after'").groupBy("metric").agg(F.max("value").alias("value"))
+    return benchmarks.resolved(benchmarks.summarize(s.where("side = 'before' and metric <> 'view'"), ["metric"]), averages, ["metric"]).select("metric", F.round("shown", 6).alias("shown"))
+
+
+@query("SELECT concat('run-', cast(event_id // 500 AS varchar)) AS label, event_type AS scenario, row_number() OVER (PARTITION BY event_type, event_id // 500 ORDER BY event_id) - 1 AS iteration, 'wait_ms' AS metric, value FROM events WHERE value IS NOT NULL")
+def q68_result_files(read):
+    """The events as results of runs of 500 each, written to the shared folder and read."""
+    run = F.concat(F.lit("run-"), F.floor(F.col("event_id") / 500).cast("string"))
+    its = read("events").where("value is not null").groupBy(run.alias("label"), "event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("all"))
+    parsed = F.struct(F.transform("all", lambda x: F.create_map(F.lit("wait_ms"), x["value"])).alias("iterations"))
+    runs = its.groupBy("label").agg(F.collect_list(F.struct(F.col("event_type").alias("name"), F.lit("events").alias("kind"), parsed.alias("parsed"))).alias("results"))
+    path = f"{tables_dir(runs.sparkSession)}/results-{uuid.uuid4().hex}"
+    runs.select(F.to_json(F.struct("label", "results")).alias("value")).write.text(path)
+    return logs.read_results(runs.sparkSession, path, lines=True)
+
+
+@query(f"{_STATES} SELECT count(*) AS n, round(100.0 * count(*) FILTER (size < 1024) / count(*), 6) AS tiny_percent, round(100.0 * count(*) FILTER (size >= 65536) / count(*), 6) AS large_percent, round(sum(size) / 1e6, 6) AS megabytes FROM s0 WHERE size > 0")
+def q69_size_shares(read):
+    return benchmarks.size_shares(_s(read, 0)).select("n", *(F.round(c, 6).cast("double").alias(c) for c in ("tiny_percent", "large_percent", "megabytes")))
+
+
+@query("SELECT p_partkey, CASE WHEN s >= 60 THEN concat(cast(CAST(floor(s / 60) AS BIGINT) AS varchar), 'm ', printf('%.1f', s % 60), 's') ELSE concat(printf('%.1f', s), 's') END AS shown FROM (SELECT p_partkey, p_partkey * 0.5::DOUBLE AS s FROM part)")
+def q70_human_duration(read):
+    return read("part").select("p_partkey", text.human_duration(F.col("p_partkey") * F.lit(0.5)).alias("shown"))
+
+
+@query(f"{_ENTRIES} SELECT pack_hash, blob_hash, unnest(range((\"offset\" + 24) // 256, greatest((\"offset\" + 24) // 256, (\"offset\" + 23 + compressed_len) // 256) + 1)) AS part, true AS whole FROM e")
+def q71_pieces_rejoined(read):
+    """Blobs cut at the borders of small parts; put together again they are what they were."""
+    docs = read("documents").where("doc_id % 10 <> 3").select(F.md5("text").alias("blob_hash"), F.encode("text", "UTF-8").alias("data")).dropDuplicates(["blob_hash"])
+    blobs = _entries(read).join(docs, "blob_hash")
+    cut = written(packs.pieces(blobs, 256))
+    whole = packs.rejoined(cut).select("pack_hash", "blob_hash", (F.md5("data") == F.col("blob_hash")).alias("whole"))
+    return cut.select("pack_hash", "blob_hash", "part").join(whole, ["pack_hash", "blob_hash"])
+
+
+@query("SELECT p_partkey, concat('pack-', p_brand, '.dat.part-', lpad(cast(p_size AS varchar), 6, '0')) AS name, p_brand AS pack, CAST(NULL AS varchar) AS other FROM part")
+def q72_pack_of_part(read):
+    named = read("part").select("p_partkey", "p_name", paths.part_name(F.col("p_brand"), F.col("p_size")).alias("name"))
+    return named.select("p_partkey", "name", paths.pack_of_part(F.col("name")).alias("pack"), paths.pack_of_part(F.col("p_name")).alias("other"))

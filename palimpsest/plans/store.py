@@ -1,8 +1,12 @@
 """A store of snapshots: Parquet tables, each commit a new version, one pointer file that names the versions.
 
 A commit writes its tables to new folders and then replaces the pointer by a rename, so readers see all
-of a commit or nothing of it. One writer at a time holds the lock file. Files go through Hadoop's file
-systems, so a store can lie anywhere that Spark writes.
+of a commit or nothing of it. One writer at a time holds the lock file; it also deletes the folders that no
+version names any more. Files go through Hadoop's file systems, so a store can lie anywhere that Spark writes.
+
+Blobs lie in packs of bounded size, each in a folder of its own, compressed. Contents are read for their
+hashes bit by bit or a batch at a time, once for all links of an inode, and are moved only where the store
+doesn't have them yet, one path for each hash.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import lz4_frame, lz4_plain
 from ..functions.paths import is_excluded
 from ..operators import catalog, merkle, packs, states
-from ..operators.tables import written
-from .errors import AmbiguousReference, LockHeld, ObjectNotFound, SnapshotNotFound
+from ..operators.tables import forgotten, written
+from .errors import AmbiguousReference, LockHeld, ObjectNotFound, RestoreFailed, SnapshotNotFound, StoreCorrupted
 
 SCHEMAS = {
     "snapshots": "id string, created_at timestamp, message string, parent_snapshot_id string, manifest_snapshot_id string, root_tree_hash string, total_files bigint, total_bytes bigint, new_objects bigint",
@@ -28,9 +34,10 @@ SCHEMAS = {
     "blob_index": "blob_hash string, pack_hash string, size bigint",
     "file_index": "path string, blob_hash string, size bigint, mtime_secs bigint, mtime_nanos bigint, inode bigint, mode int",
     "tree_nodes": "tree_hash string, entries array<struct<name: string, entry_type: string, hash: string, size: bigint, mode: int>>",
-    "blobs": "pack_hash string, blob_hash string, offset bigint, compressed_len bigint, data binary",
+    "blobs": "pack_hash string, blob_hash string, offset bigint, compressed_len bigint, part bigint, data binary",
 }
 _STATE = ("path", "blob_hash", "size", "mode")
+Load = Callable[[DataFrame], DataFrame]
 
 
 def uuid7() -> str:
@@ -40,8 +47,11 @@ def uuid7() -> str:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, *, hasher: Callable = F.md5):
+    def __init__(self, spark: SparkSession, root: str, *, hasher: Callable = F.md5, pack_bytes: int = 256 << 20, pack_entries: int = 1 << 18, dead_share: float = 0.5, progress: Callable[[str, dict], None] | None = None):
+        """pack_bytes, pack_entries: about how much a pack holds; dead_share: from which share of dead bytes on a pack is rewritten; progress: hears of each step."""
         self.spark, self.root, self.hasher = spark, root.rstrip("/"), hasher
+        self.pack_bytes, self.pack_entries, self.dead_share = pack_bytes, pack_entries, dead_share
+        self.progress = progress or (lambda step, figures: None)
 
     # Files
 
@@ -88,12 +98,37 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.root}/{f}" for f in folders))
 
+    def _typed(self, name: str, df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], SCHEMAS[name]).schema))
+
     def _write(self, name: str, df: DataFrame, by: str | None = None) -> str:
-        folder = f"{name}/{uuid.uuid4().hex}"
-        typed = df.select(*(F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], SCHEMAS[name]).schema))
+        folder, typed = f"{name}/{uuid.uuid4().hex}", self._typed(name, df)
         (typed.sortWithinPartitions(by) if by else typed).write.option("compression", "lz4_raw").parquet(f"{self.root}/{folder}")
         return folder
 
+    def _folders(self, name: str) -> list[str]:
+        """The folders in a folder of the store."""
+        fs, path = self._fs(), self._path(name)
+        return [f"{name}/{x.getPath().getName()}" for x in fs.listStatus(path) if x.isDirectory()] if fs.exists(path) else []
+
+    def _write_packs(self, blobs: DataFrame, part_bytes: int | None) -> list[str]:
+        """Writes blobs (pack_hash, blob_hash, compressed_len, data); the folders of their packs."""
+        folder = f"blobs/{uuid.uuid4().hex}"
+        typed = self._typed("blobs", packs.pieces(packs.with_offsets_of_bounded(blobs), part_bytes)).withColumn("pack", F.col("pack_hash"))
+        typed.sortWithinPartitions("pack", "blob_hash", "part").write.option("compression", "none").partitionBy("pack").parquet(f"{self.root}/{folder}")
+        return self._folders(folder)
+
+    def _drop_unnamed(self) -> None:
+        """Deletes what the pointer doesn't name; the lock is held."""
+        fs = self._fs()
+        named = {f for folders in self._pointer().values() for f in folders}
+        for name in SCHEMAS:
+            for folder in self._folders(name):
+                inside = self._folders(folder) if name == "blobs" else []
+                kept = [f for f in inside if f in named]
+                for f in [folder] if folder not in named and not kept else [f for f in inside if f not in named]:
+                    fs.delete(self._path(f), True)
+
     # Reading
 
     def list(self, limit: int | None = None) -> DataFrame:
@@ -116,18 +151,37 @@ class Store:
         one = self.table("snapshots").where(F.col("id") == self.resolve(ref))
         return catalog.manifests(one, self.table("snapshot_files")).select(*_STATE)
 
-    def hashed(self, files: DataFrame, load: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        """files (relative_path, size, mode, mtime_*, inode and device; content unless load gives it) with path and blob_hash.
+    def root_hash(self, ref: str) -> str | None:
+        """The root of a snapshot's tree: as stored, else made from its manifest."""
+        stored = self.table("snapshots").where(F.col("id") == self.resolve(ref)).select("root_tree_hash").first()[0]
+        if stored:
+            return stored
+        root = merkle.nodes(self.manifest(ref)).where("dir = ''").select("tree_hash").collect()
+        return root[0].tree_hash if root else None
+
+    def hashed(self, files: DataFrame, load: Load | None = None, digest: Load | None = None) -> DataFrame:
+        """files (relative_path, size, mode, mtime_*, inode and device; content unless load gives it) with path and blob_hash, without contents.
 
-        Contents are read only where the index doesn't know the hash or its blob is gone.
+        Contents are read only where the index doesn't know the hash or its blob is gone, once for all links
+        of an inode, in the order of inodes. digest: gives the rows of load's argument blob_hash, without contents.
         """
         named = files.withColumnRenamed("relative_path", "path") if "relative_path" in files.columns else files
         probed = states.cache_probe(named, self.table("file_index"), self.table("blob_index"))
-        misses = probed.where("cached_hash is null")
-        misses = load(misses.withColumnRenamed("path", "relative_path")).withColumnRenamed("relative_path", "path") if load else misses
-        misses = misses.withColumn("blob_hash", self.hasher(F.col("content")))
-        hits = probed.where("cached_hash is not null").withColumn("blob_hash", F.col("cached_hash"))
-        return hits.drop("content", "cached_hash").withColumn("content", F.lit(None).cast("binary")).unionByName(misses.drop("cached_hash").withColumn("content", F.col("content").cast("binary")))
+        hits = probed.where("cached_hash is not null").withColumnRenamed("cached_hash", "blob_hash").drop("content")
+        misses = probed.where("cached_hash is null").drop("cached_hash")
+        if load is None:
+            return hits.unionByName(misses.withColumn("blob_hash", self.hasher(F.col("content"))).drop("content"))
+        misses = misses.drop("content")
+        if {"device", "inode"} <= set(misses.columns):
+            misses = written(states.hardlink_groups(misses).drop("links"))
+        else:
+            misses = written(misses.withColumn("read_path", F.col("path")))
+        order = [F.col("inode").asc_nulls_last()] if "inode" in misses.columns else []
+        read = misses.where("path = read_path").drop("read_path").withColumnRenamed("path", "relative_path")
+        read = read.repartitionByRange(*order, "relative_path").sortWithinPartitions(*order, "relative_path")
+        read = digest(read) if digest else load(read).withColumn("blob_hash", self.hasher(F.col("content")))
+        once = written(read.select(F.col("relative_path").alias("read_path"), "blob_hash"))
+        return hits.unionByName(misses.join(once, "read_path").drop("read_path"))
 
     def diff(self, ref: str, current: DataFrame, *, include_mode: bool = False) -> DataFrame:
         """(path, status) of what a restore of ref would do to current (path, blob_hash, mode)."""
@@ -135,21 +189,46 @@ class Store:
 
     # Writing
 
-    def save(self, files: DataFrame, message: str | None = None, *, include_deps: bool = False, load: Callable[[DataFrame], DataFrame] | None = None) -> dict:
-        """Records the files (see hashed()) as a snapshot: its id and counts."""
+    def _new_packs(self, new: DataFrame, n_new: int) -> DataFrame:
+        """new (blob_hash, size) with the pack_hash of packs of bounded size."""
+        total = new.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        numbered = written(packs.pack_numbers(new, max(1, -(-total // self.pack_bytes), -(-n_new // self.pack_entries))))
+        return written(numbered.join(packs.pack_names(numbered), "pack").drop("pack"))
+
+    def _contents(self, files: DataFrame, chosen: DataFrame, load: Load | None) -> DataFrame:
+        """chosen (path, blob_hash, ...) with their contents compressed as data; a content that isn't what was hashed is an error."""
+        if load:
+            read = load(chosen.withColumnRenamed("path", "relative_path"))
+        else:
+            named = files.withColumnRenamed("relative_path", "path") if "relative_path" in files.columns else files
+            read = named.select("path", "content").join(chosen, "path")
+        changed = F.raise_error(F.concat(F.lit("changed while it was read: "), F.col("blob_hash")))
+        same = F.when(self.hasher(F.col("content")) == F.col("blob_hash"), F.col("content")).otherwise(changed.cast("binary"))
+        framed = read.select("pack_hash", "blob_hash", lz4_frame(same.cast("binary")).alias("data"))
+        return framed.withColumn("compressed_len", F.octet_length("data").cast("long"))
+
+    def save(self, files: DataFrame, message: str | None = None, *, include_deps: bool = False, load: Load | None = None, digest: Load | None = None, pack_chunk_bytes: int | None = None) -> dict:
+        """Records the files (see hashed()) as a snapshot: its id and counts. pack_chunk_bytes: cuts new packs into parts of this size."""
         with self._lock():
             path = "relative_path" if "relative_path" in files.columns else "path"
-            rows = written(self.hashed(files.where(~is_excluded(F.col(path), include_deps)), load))
+            wanted = files.where(~is_excluded(F.col(path), include_deps))
+            rows = written(self.hashed(wanted, load, digest))
             state = rows.select(*_STATE)
             new = written(states.new_objects(state, self.table("blob_index")))
-            pointer, pack = self._pointer(), uuid.uuid4().hex[:16]
+            pointer = self._pointer()
             total = state.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
             n_new = new.count()
+            self.progress("scanned", {"files": total.n, "bytes": total.bytes, "new_objects": n_new})
             if n_new:
-                data = rows.where("content is not null").groupBy("blob_hash").agg(F.first("content").alias("data")).join(new.select("blob_hash"), "blob_hash", "left_semi")
-                entries = packs.with_offsets(written(new.select("blob_hash", F.lit(pack).alias("pack_hash"), F.col("size").alias("compressed_len"))))
-                pointer["blobs"] = [*pointer.get("blobs", []), self._write("blobs", data.join(entries, "blob_hash"), "blob_hash")]
-                pointer["blob_index"] = [*pointer.get("blob_index", []), self._write("blob_index", new.withColumn("pack_hash", F.lit(pack)))]
+                placed = self._new_packs(new, n_new)
+                one_path = rows.groupBy("blob_hash").agg(F.min("path").alias("path"))
+                chosen = written(placed.select("blob_hash", "pack_hash").join(one_path, "blob_hash"))
+                folders = self._write_packs(self._contents(wanted, chosen, load), pack_chunk_bytes)
+                pointer["blobs"] = [*pointer.get("blobs", []), *folders]
+                pointer["cut"] = [*pointer.get("cut", []), *(folders if pack_chunk_bytes else [])]
+                pointer["blob_index"] = [*pointer.get("blob_index", []), self._write("blob_index", placed)]
+                forgotten(placed, chosen)
+                self.progress("packed", {"packs": len(folders)})
             snapshots = self.table("snapshots")
             parent = catalog.newest_first(snapshots, 1).collect()
             alias_of = None
@@ -170,6 +249,9 @@ class Store:
             have = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in wanted]
             pointer["file_index"] = [self._write("file_index", rows.select(*have))]
             self._publish(pointer)
+            self._drop_unnamed()
+            forgotten(rows, new)
+            self.progress("saved", {"snapshot_id": ident})
             return {"snapshot_id": ident, "total_files": total.n, "total_bytes": total.bytes, "new_objects": n_new}
 
     def restored(self, ref: str, current: DataFrame | None = None) -> DataFrame:
@@ -182,7 +264,12 @@ class Store:
         if lost:
             raise ObjectNotFound(lost[0].blob_hash)
         needed = manifest.join(found.select("blob_hash", "pack_hash"), "blob_hash")
-        return needed.join(self.table("blobs").select("pack_hash", "blob_hash", "offset", "data"), ["pack_hash", "blob_hash"]).select("path", "mode", "data", "pack_hash", "offset")
+        blobs = self.table("blobs")
+        if self._pointer().get("cut"):
+            blobs = packs.rejoined(blobs.join(needed.select("pack_hash", "blob_hash").distinct(), ["pack_hash", "blob_hash"], "left_semi"))
+        both = needed.join(blobs.select("pack_hash", "blob_hash", "offset", F.col("data").alias("framed")), ["pack_hash", "blob_hash"], "left").withColumn("data", lz4_plain("framed", "size"))
+        broken = F.raise_error(F.concat(F.lit("the store is corrupted: "), F.col("blob_hash")))
+        return both.select("path", "mode", F.when(F.coalesce(self.hasher(F.col("data")) == F.col("blob_hash"), F.lit(False)), F.col("data")).otherwise(broken.cast("binary")).alias("data"), "pack_hash", "offset")
 
     def restore(self, ref: str, current: DataFrame, target: str | None = None, *, dry_run: bool = False) -> dict:
         """Counts of what a restore does; with a target folder that executors share, does it: removals first, then each file staged and renamed."""
@@ -192,22 +279,29 @@ class Store:
         if dry_run or target is None:
             return result
         with self._lock():
-            changes.where("status = 'remove'").select("path").foreachPartition(lambda rows: _remove(target, rows))
-            tasks = self.restored(ref, current).repartitionByRange("pack_hash", "offset").sortWithinPartitions("pack_hash", "offset", "path")
-            tasks.select("path", "mode", "data").foreachPartition(lambda rows: _materialize(target, rows))
-            self._prune(target, changes)
+            try:
+                changes.where("status = 'remove'").select("path").foreachPartition(lambda rows: _remove(target, rows))
+                self.progress("removed", {"files": result["files_removed"]})
+                tasks = self.restored(ref, current).repartitionByRange("pack_hash", "offset").sortWithinPartitions("pack_hash", "offset", "path")
+                tasks.select("path", "mode", "data").foreachPartition(lambda rows: _materialize(target, rows))
+                self._prune(target, changes)
+            except PySparkException as e:
+                raise (StoreCorrupted if "corrupted" in str(e) else RestoreFailed)(f"{ref}: {str(e).splitlines()[0][:300]}") from e
+            self.progress("restored", result)
         return result
 
     def _prune(self, target: str, changes: DataFrame) -> None:
-        gone = merkle.empty_after_removal(changes.where("status = 'remove'"), changes.where("status <> 'remove'"))
-        for row in gone.toLocalIterator():
-            try:
-                os.rmdir(os.path.join(target, row.dir))
-            except OSError:
-                continue
+        """Removes directories that are empty now: level by level, deepest first, each level on the executors."""
+        gone = written(merkle.empty_after_removal(changes.where("status = 'remove'"), changes.where("status <> 'remove'")))
+        for row in gone.select("depth").distinct().orderBy(F.col("depth").desc()).collect():
+            gone.where(F.col("depth") == row.depth).select("dir").foreachPartition(lambda rows: _remove_folders(target, rows))
+        forgotten(gone)
 
     def delete(self, ident: str) -> dict:
-        """Deletes a snapshot by its exact id and the blobs and packs that nothing reaches any more."""
+        """Deletes a snapshot by its exact id and the blobs that nothing reaches any more.
+
+        Packs without live blobs go; the live blobs of packs with many dead bytes move to new packs; others stay as they are.
+        """
         with self._lock():
             snapshots = self.table("snapshots")
             gone = snapshots.where(F.col("id") == ident)
@@ -218,13 +312,27 @@ class Store:
             self._publish(pointer)
             index = self.table("blob_index")
             dead = written(catalog.sweep(index, catalog.reachable(self.table("snapshots"), self.table("snapshot_files"))))
-            n = dead.count()
+            n, freed = dead.count(), 0
             if n:
-                live = index.join(dead.select("blob_hash"), "blob_hash", "left_anti")
-                blobs = self.table("blobs").join(dead.select("blob_hash"), "blob_hash", "left_anti")
-                pointer |= {"blob_index": [self._write("blob_index", live)], "blobs": [self._write("blobs", blobs, "blob_hash")]}
+                live = written(index.join(dead.select("blob_hash"), "blob_hash", "left_anti"))
+                of_pack = packs.dead_bytes(index, live).where("dead_bytes > 0").withColumn("moves", F.col("dead_bytes") >= self.dead_share * (F.col("live_bytes") + F.col("dead_bytes")))
+                leaves = of_pack.where("live_bytes = 0 or moves").select("pack_hash")
+                left = {r.pack_hash for r in leaves.collect()}  # of a store's packs, which the pointer names as well
+                moving = written(live.join(leaves, "pack_hash", "left_semi").select("blob_hash", "size", F.col("pack_hash").alias("old_pack")))
+                folders = [f for f in pointer.get("blobs", []) if f.rpartition("=")[2] not in left]
+                freed, n_moving = len(pointer.get("blobs", [])) - len(folders), moving.count()
+                if n_moving:
+                    placed = self._new_packs(moving, n_moving)
+                    old = self.table("blobs")
+                    old = packs.rejoined(old.join(leaves, "pack_hash", "left_semi")) if pointer.get("cut") else old
+                    data = old.select(F.col("pack_hash").alias("old_pack"), "blob_hash", "compressed_len", "data").join(placed, ["old_pack", "blob_hash"])
+                    folders += self._write_packs(data.select("pack_hash", "blob_hash", "compressed_len", "data"), None)
+                    live = live.join(leaves, "pack_hash", "left_anti").unionByName(placed.drop("old_pack"))
+                pointer |= {"blob_index": [self._write("blob_index", live)], "blobs": folders, "cut": [f for f in pointer.get("cut", []) if f in folders]}
                 self._publish(pointer)
-            return {"deleted": ident, "dead_blobs": n}
+            self._drop_unnamed()
+            self.progress("deleted", {"snapshot_id": ident, "dead_blobs": n, "freed_packs": freed})
+            return {"deleted": ident, "dead_blobs": n, "freed_packs": freed}
 
 
 def _remove(root: str, rows) -> None:
@@ -235,6 +343,14 @@ def _remove(root: str, rows) -> None:
             continue
 
 
+def _remove_folders(root: str, rows) -> None:
+    for r in rows:
+        try:
+            os.rmdir(os.path.join(root, r.dir))
+        except OSError:
+            continue
+
+
 def _materialize(root: str, rows) -> None:
     for r in rows:
         path = os.path.join(root, r.path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +46,30 @@ def blobs(spark: SparkSession, n: int) -> DataFrame:
 def snapshots(spark: SparkSession, n: int) -> DataFrame:
     created = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-04-01 00:00:00")) + F.col("id"))
     return spark.range(n).select(F.format_string("019d%08x-0000-7000-8000-000000000000", "id").alias("id"), created.alias("created_at"), F.lit(None).cast("string").alias("manifest_snapshot_id"))
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes files (path, content) under a folder that the executors share."""
+
+    def write(rows) -> None:
+        for r in rows:
+            path = os.path.join(root, r.path)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(bytes(r.content))
+
+    os.makedirs(root, exist_ok=True)
+    files.select("path", "content").foreachPartition(write)
+
+
+def link_files(root: str, packages: int, links: int, pool: int) -> None:
+    """A tree of installed packages on the driver's disk: each has `links` hard links to a pool of files."""
+    os.makedirs(os.path.join(root, "pool"), exist_ok=True)
+    for k in range(pool):
+        with open(os.path.join(root, f"pool/{k}"), "w") as f:
+            f.write(f"content {k}\n" * (k + 1))
+    for p in range(packages):
+        folder = os.path.join(root, f"packages/package_{p:05}")
+        os.makedirs(folder, exist_ok=True)
+        for k in range(links):
+            os.link(os.path.join(root, f"pool/{(p * links + k) % pool}"), os.path.join(folder, f"file_{k}"))

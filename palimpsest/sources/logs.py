@@ -12,9 +12,9 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """(label, scenario, iteration, metric, value) of result files."""
-    runs = spark.read.schema(RESULTS).json(path, multiLine=True).select("label", F.explode("results").alias("r"))
+def read_results(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """(label, scenario, iteration, metric, value) of result files; lines: a result to each line, not to each file."""
+    runs = spark.read.schema(RESULTS).json(path, multiLine=not lines).select("label", F.explode("results").alias("r"))
     its = runs.select("label", F.col("r.name").alias("scenario"), F.posexplode("r.parsed.iterations").alias("iteration", "values"))
     return its.select("label", "scenario", F.col("iteration").cast("long"), F.explode("values").alias("metric", "value"))
 

@@ -12,13 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_state(docs: DataFrame, which: int) -> DataFrame:
+def document_state(docs: DataFrame, which: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """State 0 (target) or 1 (current) of the documents: some rows are only in one, some changed in 1."""
     text = F.col("text") if which == 0 else F.when(F.col("doc_id") % 10 == 5, F.concat("text", F.lit("#v1"))).otherwise(F.col("text"))
     path = F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
     mode = F.when(F.col("doc_id") % 97 == 0, F.lit(LINK_MODE)).otherwise(F.lit(FILE_MODE))
     rows = docs.where(F.col("doc_id") % 10 != (3 if which == 0 else 7))
-    return rows.select(path.alias("path"), F.md5(text).alias("blob_hash"), F.octet_length(text).cast("long").alias("size"), mode.cast("long").alias("mode"), "doc_id")
+    return rows.select(path.alias("path"), F.md5(text).alias("blob_hash"), F.octet_length(text).cast("long").alias("size"), mode.cast("long").alias("mode"), "doc_id", *keep)
+
+
+def document_files(docs: DataFrame, which: int) -> DataFrame:
+    """The same with contents and what a scan tells of files, for a store to save."""
+    text = F.col("text") if which == 0 else F.when(F.col("doc_id") % 10 == 5, F.concat("text", F.lit("#v1"))).otherwise(F.col("text"))
+    rows = document_state(docs.withColumn("content", F.encode(text, "UTF-8")), which, keep=("content",))
+    nothing = F.lit(0).cast("long")
+    return rows.select("path", "content", "size", F.col("mode").cast("int").alias("mode"), (F.col("doc_id") + which).alias("mtime_secs"), nothing.alias("mtime_nanos"), F.col("doc_id").alias("inode"))
 
 
 def page_state(pages: DataFrame) -> DataFrame:

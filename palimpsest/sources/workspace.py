@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -83,6 +85,10 @@ def read_workspace(spark: SparkSession, root: str, *, ignore: str | None = None,
     return (reader.option("ignore", ignore) if ignore else reader).load()
 
 
+#: Bytes of files that one batch of rows holds, but for the last file; bytes that are read at once for a hash.
+BATCH_BYTES, READ_BYTES = 32 << 20, 1 << 20
+
+
 def content_of(root: str, relative: str) -> bytes:
     """A file's bytes; of a symbolic link, its target's text."""
     path = os.path.join(root, relative)
@@ -92,16 +98,46 @@ def content_of(root: str, relative: str) -> bytes:
         return f.read()
 
 
-def with_content(files: DataFrame, root: str) -> DataFrame:
-    """files with their content, read on the executors, a batch of rows at a time."""
-    import pyarrow as pa
+def hash_of(root: str, relative: str, new=hashlib.md5) -> str:
+    """The hash of a file's bytes, read bit by bit, or of a symbolic link's target text."""
+    path, h = os.path.join(root, relative), new()
+    if os.path.islink(path):
+        h.update(os.readlink(path).encode())
+    else:
+        with open(path, "rb") as f:
+            while data := f.read(READ_BYTES):
+                h.update(data)
+    return h.hexdigest()
+
 
-    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+def _mapped(files: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, read, weigh) -> DataFrame:
+    """files with a column of read(relative path); batches end where weigh() of what was read adds up to BATCH_BYTES."""
+    schema = T.StructType([*files.schema.fields, T.StructField(name, kind)])
     place = files.columns.index("relative_path")
 
     def run(batches):
         for batch in batches:
-            data = [content_of(root, p) for p in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=schema.names)
+            begin, weight, found = 0, 0, []
+            for k, path in enumerate(batch.column(place).to_pylist()):
+                found.append(read(path))
+                weight += weigh(found[-1])
+                if weight >= BATCH_BYTES or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(found)).columns, pa.array(found, arrow)], names=schema.names)
+                    begin, weight, found = k + 1, 0, []
 
     return files.mapInArrow(run, schema)
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """files with their content, read on the executors in batches of bounded size."""
+    return _mapped(files, "content", T.BinaryType(), pa.binary(), lambda p: content_of(root, p), len)
+
+
+def with_hash(files: DataFrame, root: str, new=hashlib.md5) -> DataFrame:
+    """files with blob_hash, read on the executors bit by bit; contents aren't kept. new: as hashlib.md5 or xxhash.xxh3_128."""
+    return _mapped(files, "blob_hash", T.StringType(), pa.string(), lambda p: hash_of(root, p, new), lambda _: 0)
+
+
+def scanned_in_order(spark: SparkSession, root: str, *, ignore: str | None = None, include_deps: bool = False) -> DataFrame:
+    """The files by path."""
+    return read_workspace(spark, root, ignore=ignore, include_deps=include_deps).orderBy("relative_path")

@@ -54,6 +54,104 @@ def test_save_after_collection_stores_blobs_again(spark, tmp_path):
     assert data == {"a": b"one", "b": b"two"}
 
 
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+
+def test_packs_are_bounded_and_their_space_is_freed(spark, tmp_path):
+    import random
+
+    rng, heard = random.Random(1), []
+    body = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3000))
+    store = Store(spark, str(tmp_path / "s"), pack_bytes=30_000, progress=lambda step, figures: heard.append(step))
+    shared, own = {f"k/{k}": body() for k in range(20)}, {f"o/{k}": body() for k in range(200)}
+    first = store.save(files(spark, {**shared, **own}))
+    packs = store.table("blobs").groupBy("pack_hash").agg(F.sum("compressed_len").alias("bytes"), F.count("*").alias("n")).collect()
+    assert len(packs) > 10 and max(p.bytes for p in packs) < 100_000
+    rows = store.table("blobs").collect()
+    for p in packs:  # an entry begins where the one before it ends
+        at = 8
+        for r in sorted((r for r in rows if r.pack_hash == p.pack_hash), key=lambda r: r.blob_hash):
+            assert (r.offset, r.compressed_len) == (at, len(r.data))
+            at += 24 + r.compressed_len
+    store.save(files(spark, shared))
+    before = size_of(tmp_path / "s")
+    gone = store.delete(first["snapshot_id"])
+    assert gone["dead_blobs"] == 200 and gone["freed_packs"] > 0 and size_of(tmp_path / "s") < before / 2
+    assert {r.path: bytes(r.data).decode() for r in store.restored("latest").collect()} == shared
+    assert heard[0] == "scanned" and "packed" in heard and heard[-1] == "deleted"
+    again = store.save(files(spark, {**shared, **own}))
+    assert again["new_objects"] == 200 and store.restored("latest").count() == 220
+
+
+def test_packs_cut_into_parts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    want = {f"a/{k}": chr(97 + k) * (k * 500) + str(k) for k in range(12)}
+    store.save(files(spark, want), pack_chunk_bytes=64)
+    assert store.table("blobs").count() > 12 and store.table("blobs").agg(F.max(F.length("data"))).first()[0] <= 64
+    assert {r.path: bytes(r.data).decode() for r in store.restored("latest").collect()} == want
+    extra = store.save(files(spark, {**want, "b": "more"}))
+    store.delete(store.list().collect()[-1].id)
+    assert {r.path: bytes(r.data).decode() for r in store.restored(extra["snapshot_id"]).collect()} == {**want, "b": "more"}
+
+
+def test_damaged_blobs_and_roots(spark, tmp_path):
+    from palimpsest.plans.errors import StoreCorrupted
+
+    store = Store(spark, str(tmp_path / "s"))
+    saved = store.save(files(spark, {"a/b": "one", "c": "two"}))
+    stored = store.root_hash("latest")
+    pointer = store._pointer()
+    bare = store.table("snapshots").withColumn("root_tree_hash", F.lit(None).cast("string"))
+    wrong = store.table("blobs").withColumn("data", F.first("data").over(__import__("pyspark").sql.Window.orderBy("blob_hash")))
+    store._publish({**pointer, "snapshots": [store._write("snapshots", bare)], "blobs": [store._write("blobs", wrong)]})
+    assert store.root_hash(saved["snapshot_id"]) == stored is not None
+    empty = files(spark, {"z": "z"}).limit(0)
+    with pytest.raises(StoreCorrupted):
+        store.restore("latest", state(store, empty), str(tmp_path / "out"))
+
+
+def test_hard_links_are_read_once(spark, tmp_path):
+    from palimpsest.sources.generators import link_files
+
+    root, log = tmp_path / "w", tmp_path / "read"
+    link_files(str(root), packages=6, links=4, pool=5)
+
+    def load(df):
+        def noted(batches):
+            for batch in batches:
+                with open(log, "a") as f:
+                    f.write("".join(f"{p}\n" for p in batch.column(batch.schema.get_field_index("relative_path")).to_pylist()))
+                yield batch
+
+        return with_content(df.mapInArrow(noted, df.schema), str(root))
+
+    store = Store(spark, str(tmp_path / "s"))
+    saved = store.save(read_workspace(spark, str(root)), load=load)
+    assert (saved["total_files"], saved["new_objects"]) == (29, 5)
+    assert len(log.read_text().split()) == 10  # once for the hashes, once for the contents
+    assert store.restored("latest").count() == 29
+
+
+def test_tools(spark, tmp_path):
+    import io
+    import json
+
+    from palimpsest import api
+
+    root = tmp_path / "w"
+    root.mkdir()
+    (root / "a").write_text("one")
+    ask = [{"id": 1, "tool": "checkpoint_save", "arguments": {"root": str(root), "message": "m"}}, {"id": 2, "tool": "checkpoint_list", "arguments": {"root": str(root)}}, {"id": 3, "tool": "checkpoint_restore", "arguments": {"root": str(root), "ref": "zz"}}, {"id": 4, "tool": "other"}]
+    out = io.StringIO()
+    api.serve(spark, io.StringIO("\n".join(map(json.dumps, ask)) + "\nnot json\n"), out, str(tmp_path / "home"))
+    said = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert said[0]["result"]["total_files"] == 1 and said[1]["result"][0]["stats"]["total_bytes"] == 3 and len(said[1]["result"][0]["root_tree_hash"]) == 32
+    assert said[2]["error"].startswith("SnapshotNotFound") and "error" in said[3] and "error" in said[4]
+    assert [r["relative_path"] for r in api.scan(spark, str(root))] == ["a"]
+    assert api.nth(spark, str(root), 1, home=str(tmp_path / "home")) == said[0]["result"]["snapshot_id"]
+
+
 def test_lock(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     with store._lock(), pytest.raises(LockHeld):
