@@ -9,6 +9,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +32,27 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries in it drop their shuffle files as they end; otherwise those stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """df as a Parquet table of the shared folder, read back: its lineage ends here, and a lost executor costs no recomputation.
 
     by: a column of few values whose rows lie in folders of their own.
     """
-    path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
     return out
 
