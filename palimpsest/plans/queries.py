@@ -58,6 +58,12 @@ def _s(read, which: int) -> DataFrame:
     return derived.document_state(read("documents"), which)
 
 
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of one row as one row."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
 @query(f"{_STATES}, d AS ({_diff_sql('t.blob_hash <> c.blob_hash')}) SELECT status, count(*) AS n FROM d GROUP BY status")
 def q01_state_diff_summary(read):
     return states.summary(states.diff(_s(read, 0), _s(read, 1), include_type=False))
@@ -136,7 +142,7 @@ def q11_new_objects(read):
 @query(f"{_STATES} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, (SELECT count(DISTINCT blob_hash) FROM s1 WHERE blob_hash NOT IN (SELECT blob_hash FROM s0)) AS new_objects FROM s1")
 def q12_save_stats(read):
     new = states.new_objects(_s(read, 1), _s(read, 0)).agg(F.count(F.lit(1)).alias("new_objects"))
-    return _s(read, 1).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).join(new)
+    return side_by_side(_s(read, 1).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")), new)
 
 
 _LINKS = f"{_STATES}, g AS (SELECT path, mode, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE doc_id // 3 END AS inode FROM s0)"
@@ -310,7 +316,7 @@ def _kept(read) -> DataFrame:
 def q34_gc(read):
     live = catalog.reachable(_kept(read), _manifest_rows(read))
     swept = catalog.sweep(derived.blob_index(read("lineitem")), live)
-    return live.agg(F.count(F.lit(1)).alias("reachable")).join(swept.agg(F.count(F.lit(1)).alias("swept")))
+    return side_by_side(live.agg(F.count(F.lit(1)).alias("reachable")), swept.agg(F.count(F.lit(1)).alias("swept")))
 
 
 @query(f"{_KEPT}, packs AS (SELECT range AS pack_hash FROM range(0, 70)) SELECT packs.pack_hash, count(b.blob_hash) AS n FROM packs LEFT JOIN blobs b ON packs.pack_hash = b.pack_hash GROUP BY 1")
