@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,12 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_json(path: str | None = None) -> str:
-    with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+    """The tokenizer file at path; where none is named, the public one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    with open(path, encoding="utf-8") as f:
         return f.read()
 
 
