@@ -136,12 +136,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bucket: int = 16) -> DataFrame:
     """The rows of docs of which one stays for each component: the one with the least id (null last), of equal ones the first written."""
-    row, fp = free_name(docs, "row"), free_name(docs, "fp_")
+    row, fp, stays = free_name(docs, "row"), free_name(docs, "fp_"), free_name(docs, "stays")
     marked = written(with_fingerprint(docs.withColumn(row, F.monotonically_increasing_id()), text_col=text_col, name=fp, drop_text=False, shingle=shingle))
     rows = marked.select(F.col(fp).alias("fp"), F.col(id_col).alias("id_"), F.col(row).alias("row_"))
     # The components of fingerprints, named by the least fingerprint; rows are numbered, ids may not be.
     prints = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("id_").isNull().alias("last"), "id_", "row_")).alias("first")))
     labels = written(components(links(prints.select("fp"), bucket)))
     named = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    stay = written(named.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row_").alias("stays")))
-    return marked.join(stay.hint("merge"), F.col(row) == F.col("stays"), "left_semi").select(*docs.columns)
+    stay = written(named.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row_").alias(stays)))
+    return marked.join(stay.hint("merge"), F.col(row) == F.col(stays), "left_semi").select(*docs.columns)
