@@ -324,9 +324,10 @@ def by_many_blocks(docs: DataFrame, blocks, text_col: str, schema: T.StructType,
         rest = new.where("text is not null")
     if changed is None:
         return docs
-    changed = changed.select(F.col("row").alias("c_row"), F.col("text").alias("c_text"))
-    joined = marked.join(changed.hint("merge"), F.col(row) == F.col("c_row"), "left").where(F.col("c_row").isNull() | F.col("c_text").isNotNull())
-    return joined.select(*(F.coalesce("c_text", marked[c]).alias(c) if c == text_col else marked[c] for c in docs.columns))
+    c_row, c_text = free_name(marked, "c_row"), free_name(marked, "c_text")
+    changed = changed.select(F.col("row").alias(c_row), F.col("text").alias(c_text))
+    joined = marked.join(changed.hint("merge"), F.col(row) == F.col(c_row), "left").where(F.col(c_row).isNull() | F.col(c_text).isNotNull())
+    return joined.select(*(F.coalesce(c_text, c).alias(c) if c == text_col else c for c in docs.columns))
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000, clean: bool = False, max_coverage: float = 0.5) -> DataFrame:

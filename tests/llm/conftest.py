@@ -42,5 +42,5 @@ def clashing(all_docs):
     """Extra columns with the names that the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ("n_words", "kept", "host", "row", "fp", "fp_", "row_", "k_id", "doc", "line", "spans", "known", "text_", "label", "gram")
+    names = ("n_words", "kept", "host", "row", "fp", "fp_", "row_", "k_id", "doc", "line", "spans", "known", "text_", "label", "gram", "stays", "c_row", "row_number", "node", "token")
     return all_docs.withColumns({n: F.lit(1) for n in names})

@@ -265,6 +265,17 @@ def test_decontamination(spark, sf_dir, all_docs, block_words):
     same([tuple(r) for r in got.collect()], brute_windows(pairs(all_docs), [(r.item_id, r.text) for r in items.collect()]))
 
 
+def test_blocks_cut_out_the_same(spark, sf_dir, all_docs):
+    """Many blocks of items, each with a pass of its own, leave the texts that one block leaves."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "alpha0 beta0"), (901, None), (902, "the the the")], "item_id long, text string"))
+    docs = all_docs.withColumn("c_row", F.lit(1)).withColumn("row_number", F.lit("x"))
+    one, many = (decontaminate.contamination(docs, items, clean=True, block_words=n) for n in (200_000, 400))
+    assert one.columns == many.columns == docs.columns and one.count() < docs.count()
+    same([tuple(r) for r in many.collect()], [tuple(r) for r in one.collect()])
+    none = decontaminate.contamination(docs, items.limit(0), clean=True)
+    same([tuple(r) for r in none.collect()], [tuple(r) for r in docs.collect()])
+
+
 def test_decontamination_cuts_passages_out(spark):
     item = " ".join(f"q{k}" for k in range(14))
     docs = spark.createDataFrame([(1, "Before. " + " ".join(f"w{k}" for k in range(40)) + " <" + item.upper() + "> after", "x"), (2, item, "x"), (3, "clean text", "x"), (4, None, None)], "doc_id long, text string, n_words string")
@@ -439,7 +450,7 @@ def test_personal_data_of_long_texts(spark):
     assert got[1].n_spans == got[1].n_email == 0 and got[3].n_card == 0
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model_scores(all_docs, order):
     import math
 
