@@ -1,19 +1,18 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 Counting: every word (run of non-blanks, A-Z lower-cased) and every n-gram up to `order` words is counted
-over the whole corpus, words by their 64-bit hashes; nothing is left out or merged. Count tables are
-partitioned by key.
+over the whole corpus, words by their 64-bit hashes; nothing is left out or merged. The count tables are
+partitioned by ranges of the n-grams' hashes: each portion of texts sends its distinct n-grams with their
+numbers to the partitions, sorted and packed, and each partition adds them up and answers the portions,
+joined on hash. A portion sends an n-gram once, so a frequent one costs a partition no more than an entry
+for each portion; partitions hold about `PART_KEYS` entries whatever the corpus.
 
 Scoring: S(w | context) = c(context w) / c(context) if the n-gram also occurs outside the document that is
 scored (its count exceeds the document's own: a document doesn't vouch for itself), else `backoff` times
-the score with a shorter context; a word alone has c(w) / total. If an n-gram occurs elsewhere, so do its
-parts: its logarithm is that of the n-gram without its first word plus a *gain* that depends on the
-n-gram alone. A document's score is then the sum of its words' backed-off unigram scores plus the gains
-of its n-grams: an equality join of its exploded, counted n-grams with the gain table, summed by
-document. N-grams that occur once can't occur elsewhere, so gains are needed of the others only.
+the score with a shorter context; a word alone has c(w) / total. Logarithms are summed by document.
 
-Texts are read once: the first pass writes them as word codes, a list of distinct words for each portion,
-which all further passes read. Each order is counted, joined and summed before the next begins.
+Texts are read once: the first pass writes them as word codes, with a list of distinct words for each portion,
+which all further passes read. Each order is counted and answered before the next begins.
 
 Defined results: texts without words (null, empty) score 0 with 0 words; repeated rows count as often
 as they occur, vouch for each other and get equal scores; columns not named are ignored; an empty table
@@ -27,12 +26,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import portions
-from .shared import forgotten, written
+from .shared import written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -56,23 +55,23 @@ def numbered(texts: Iterable[str | None]) -> tuple[list[np.ndarray], np.ndarray]
     return coded, np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place)).view(np.int64)
 
 
-#: Rows and characters of a portion of texts, and rows that are given back at once.
-ROWS, CHARS, AT_ONCE = 1_000, 500_000, 200_000
+#: Rows and characters of a portion of texts; n-grams of portions in a partition of a count table, about.
+ROWS, CHARS, PART_KEYS = 2_500, 2_000_000, 1_000_000
 
 
 def tokens(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """A row for each portion of texts: ids, docs (numbers of rows), sizes (words), codes (places in words), words (hashes)."""
+    """A row for each portion of texts: ids, sizes (words), codes (places in words), words (hashes)."""
     numbers = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("docs", numbers), T.StructField("sizes", numbers), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("words", numbers)])
+    schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("sizes", numbers), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("words", numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in portions(batches, 2, rows=ROWS, chars=CHARS):
+        for batch, texts in portions(batches, 1, rows=ROWS, chars=CHARS):
             coded, hashes = numbered(texts)
-            ids, rows = (pa.ListArray.from_arrays([0, len(texts)], batch.column(k)) for k in (0, 1))
             flat = np.concatenate([*coded, np.zeros(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, rows, pa.array([[len(c) for c in coded]], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.int32())), pa.array([hashes], pa.list_(pa.int64()))], names=schema.names)
+            columns = [pa.ListArray.from_arrays([0, len(texts)], batch.column(0)), pa.array([[len(c) for c in coded]], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.int32())), pa.array([hashes], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col(id_col), F.monotonically_increasing_id().alias("doc"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -84,108 +83,144 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
     return (h ^ h >> np.uint64(29)).view(np.int64) if len(columns) > 1 else h.view(np.int64)
 
 
-def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the portions in batches of (docs, sizes, codes, words): the numbers of texts, their sizes, all their words' hashes in order."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            rows, sizes, codes, hashes = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(4))
-            yield rows, sizes, hashes[codes]
+class Portion:
+    """The words of a portion's texts in order, as hashes, and where its n-grams are."""
 
+    def __init__(self, sizes: np.ndarray, codes: np.ndarray, hashes: np.ndarray):
+        self.sizes, self.own = sizes, hashes[codes]
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.last = np.repeat(np.cumsum(sizes), sizes)
 
-def starts(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where, in all words of a portion, the k-grams begin that lie in one text; and which text that is."""
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    last = np.repeat(np.cumsum(sizes), sizes)
-    at = np.flatnonzero(np.arange(len(text)) + k <= last)
-    return at, text[at]
+    def starts(self, k: int) -> np.ndarray:
+        """Where the k-grams begin that lie in one text."""
+        return np.flatnonzero(np.arange(len(self.text)) + k <= self.last)
 
+    def keys(self, k: int) -> np.ndarray:
+        at = self.starts(k)
+        return mixed([self.own[at + j] for j in range(k)]).view(np.uint64)
 
-def in_slices(arrays: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(arrays[0]), AT_ONCE):
-        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + AT_ONCE]) for a in arrays], names=names)
 
+_PORTION = ("portion", "sizes", "codes", "words")
 
-_PORTION = ("docs", "sizes", "codes", "words")
 
+def portions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Portion, pa.RecordBatch]]:
+    """Of batches that begin with the columns of _PORTION: each row's number, what it holds, and the row."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sizes, codes, hashes = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+            yield batch.column(0)[k].as_py(), Portion(sizes, codes, hashes), batch.slice(k, 1)
 
-def gram_counts(coded: DataFrame, k: int) -> DataFrame:
-    """(w1 ... wk, c) of the k-grams of all texts; of two words or more, those that occur twice or more."""
-    names = [f"w{j + 1}" for j in range(k)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sizes, own in parts_of(batches):
-            at, _ = starts(sizes, k)
-            columns = [own[at + j] for j in range(k)]
-            _, first, n = np.unique(mixed(columns), return_index=True, return_counts=True)
-            yield from in_slices([*(c[first] for c in columns), n], [*names, "n"])
+def packed(counts: np.ndarray) -> bytes:
+    """Counts, which mostly are small: how many, a byte for each, and 8 bytes for each from 255 on."""
+    return np.uint32(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
 
-    counts = coded.select(*_PORTION).mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("c"))
-    return counts if k == 1 else counts.where("c > 1")
 
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    counts = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[4 + n :], np.int64)
+    return counts
 
-def gains(counts: DataFrame, shorter: DataFrame | None, k: int, *, total: int, backoff: float) -> DataFrame:
-    """(gram, c, log_s, gain) of counted k-grams: their key, count, score, and what it adds to the backed-off score without the first word."""
-    if k == 1:
-        log_s = F.log(F.col("c") / F.lit(max(1, total)))
-        return counts.select(F.col("w1").alias("gram"), "c", log_s.alias("log_s"), log_s.alias("gain"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(k)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(mixed(x)) for x in (w, w[:-1], w[1:])), batch.column(k)], names=["gram", "head", "tail", "c"])
+def stretches(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(partition, begin, end) of the stretches of ascending keys that belong to one partition; partitions are equal ranges of hashes."""
+    of = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), np.bool_), of[1:] != of[:-1]]))
+    return list(zip(of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=False))
 
-    keyed = counts.mapInArrow(run, "gram long, head long, tail long, c long")
-    # What occurs twice has parts that occur twice: each is in the table of shorter n-grams. All of these grow with the corpus: merge joins.
-    both = keyed.join(shorter.select(F.col("gram").alias("head"), F.col("c").alias("c_head")).hint("merge"), "head")
-    both = both.join(shorter.select(F.col("gram").alias("tail"), F.col("log_s").alias("log_tail")).hint("merge"), "tail")
-    log_s = F.log(F.col("c") / F.col("c_head"))
-    return both.select("gram", "c", log_s.alias("log_s"), (log_s - F.col("log_tail") - F.lit(math.log(backoff))).alias("gain"))
 
+def added_up(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, with the sums of their numbers."""
+    all_keys, n = np.concatenate(keys), np.concatenate(numbers)
+    order = np.argsort(all_keys, kind="stable")
+    all_keys, n = all_keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))
+    return all_keys[first], np.add.reduceat(n, first)
 
-def document_grams(coded: DataFrame, k: int) -> DataFrame:
-    """(doc, gram, n): a row for each distinct k-gram of a document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sizes, own in parts_of(batches):
-            at, text = starts(sizes, k)
-            key = mixed([own[at + j] for j in range(k)])
-            order = np.lexsort((key, text))
-            key, text = key[order], text[order]
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(key)))
-            yield from in_slices([rows[text[first]], key[first], n], ["doc", "gram", "n"])
-
-    return coded.select(*_PORTION).mapInArrow(run, "doc long, gram long, n long")
+def gram_counts(coded: DataFrame, k: int, parts: int) -> DataFrame:
+    """(portion, part, counts): for the distinct k-grams of each portion, ascending, and within a partition, how often they occur in all texts."""
 
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for portion, own, _ in portions_of(batches):
+            keys, n = np.unique(own.keys(k), return_counts=True)
+            rows = stretches(keys, parts)
+            for at in range(0, len(rows), 64):
+                some = rows[at : at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _, _ in some], pa.int32()), pa.array([portion] * len(some), pa.int64()), pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([packed(n[a:b]) for _, a, b in some], pa.binary())],
+                    names=["part", "portion", "keys", "n"],
+                )
 
-def added_by(coded: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """(doc, added): the gains of a document's k-grams that occur elsewhere; of words, all their scores."""
-    both = document_grams(coded, k).join(table.select("gram", "c", "gain").hint("merge"), "gram")
-    elsewhere: Column = F.lit(True) if k == 1 else F.col("c") > F.col("n")
-    return both.where(elsewhere).groupBy("doc").agg(F.sum(F.col("n") * F.col("gain")).alias("added"))
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All of a partition's entries, added up; sorted by partition, they follow one another."""
+        held: list[tuple[int, bytes, bytes]] = []
+        part = -1
 
+        def answers() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys = [np.frombuffer(x, np.uint64) for _, x, _ in held]
+                table, sums = added_up(keys, [unpacked(x) for _, _, x in held])
+                for (portion, _, _), own in zip(held, keys, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([part], pa.int32()), pa.array([packed(sums[np.searchsorted(table, own)])], pa.binary())], names=["portion", "part", "counts"])
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, backoff: float = 0.4) -> DataFrame:
+        for batch in batches:
+            for p, portion, x, n in zip(*(batch.column(c) for c in range(4)), strict=True):
+                if p.as_py() != part:
+                    yield from answers()
+                    held, part = [], p.as_py()
+                held.append((portion.as_py(), x.as_py(), n.as_py()))
+        yield from answers()
+
+    entries = coded.select(*_PORTION).mapInArrow(sent, "part int, portion long, keys binary, n binary")
+    return entries.repartition("part").sortWithinPartitions("part", "portion").mapInArrow(answered, "portion long, part int, counts binary")
+
+
+def log_scores(own: Portion, counts: list[np.ndarray], total: int, backoff: float) -> np.ndarray:
+    """The sum of log S over each text of a portion; counts[k - 1]: of its distinct k-grams, ascending."""
+    score = np.zeros(len(own.text))
+    # By the place of a k-gram's last word: its count, and whether it occurs elsewhere.
+    shorter = np.zeros(len(own.text))
+    for k, c in enumerate(counts, 1):
+        at = own.starts(k)
+        if not len(at):
+            break
+        _, place = np.unique(own.keys(k), return_inverse=True)
+        here, end = c[place], at + k - 1
+        if k == 1:
+            score[:] = np.log(here / max(1, total))
+        else:
+            pair = own.text[at] * np.int64(len(c)) + place
+            _, same, n = np.unique(pair, return_inverse=True, return_counts=True)
+            elsewhere = here > n[same]
+            score[end] += math.log(backoff)
+            score[end[elsewhere]] = np.log(here[elsewhere] / shorter[end[elsewhere] - 1])
+        shorter = np.zeros(len(own.text))
+        shorter[end] = here
+    return np.add.reduceat(np.append(score, 0.0), np.minimum(np.cumsum(own.sizes) - own.sizes, len(score))) * (own.sizes > 0)
+
+
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4) -> DataFrame:
     """One row a document: id_col, n_words, log_score (natural logarithm of S over all words), mean_log_score (0 without words)."""
     if order < 1:
         raise ValueError("order 1 or more")
-    coded = written(tokens(docs, id_col=id_col, text_col=text_col))
+    coded = written(tokens(docs, id_col=id_col, text_col=text_col).withColumn("portion", F.monotonically_increasing_id()))
     total = coded.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    table, sums = None, []
+    parts = max(1, -(-total // PART_KEYS))
+    joined = coded.select(*_PORTION, "ids")
     for k in range(1, order + 1):
-        counts = written(gram_counts(coded, k))
-        longer = written(gains(counts, table, k, total=total, backoff=backoff))
-        forgotten(counts, table)
-        table = longer
-        sums.append(written(added_by(coded, table, k)))
-    forgotten(table)
-    one = coded.select(F.explode(F.arrays_zip("ids", "docs", "sizes")).alias("x")).select(F.col("x.ids").alias(id_col), F.col("x.docs").alias("doc"), F.col("x.sizes").alias("n_words"))
-    # The first word has no context, the second one word of it, and so on.
-    short = F.least(F.col("n_words"), F.lit(order - 1))
-    steps = short * (short - 1) / 2 + (F.col("n_words") - short) * (order - 1)
-    score = steps * F.lit(math.log(backoff))
-    for k, added in enumerate(sums):
-        one = one.join(added.withColumnRenamed("added", f"added_{k}").hint("merge"), "doc", "left")
-        score += F.coalesce(f"added_{k}", F.lit(0.0))
-    score = F.when(F.col("n_words") > 0, score).otherwise(F.lit(0.0))
-    return one.select(id_col, "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).otherwise(F.lit(0.0)).alias("mean_log_score"))
+        found = written(gram_counts(coded, k, parts))
+        # As many answers as partitions for each portion, whose size is bounded.
+        by_portion = found.groupBy(F.col("portion").alias(f"portion_{k}")).agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias(f"counts_{k}"))
+        joined = joined.join(by_portion.hint("merge"), F.col("portion") == F.col(f"portion_{k}"), "left").drop(f"portion_{k}")
+    names = [f"counts_{k}" for k in range(1, order + 1)]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own, row in portions_of(batches):
+            counts = [np.concatenate([np.zeros(0, np.int64), *(unpacked(x["counts"]) for x in row.column(5 + k)[0].as_py() or ())]) for k in range(len(names))]
+            scores = log_scores(own, counts, total, backoff)
+            yield pa.RecordBatch.from_arrays([row.column(4)[0].values, pa.array(own.sizes), pa.array(scores), pa.array(scores / np.maximum(1, own.sizes))], names=schema.names)
+
+    return joined.select(*_PORTION, "ids", *names).mapInArrow(run, schema)

@@ -9,12 +9,16 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text=f"tra
 t AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
 one AS (SELECT w, count(*) AS n FROM t GROUP BY w),
 total AS (SELECT sum(n) AS n FROM one),
-pairs AS (SELECT a.rid, b.pos, a.w AS w1, b.w AS w2 FROM t a JOIN t b ON a.rid = b.rid AND b.pos = a.pos + 1),
-own AS (SELECT rid, w1, w2, count(*) AS n FROM pairs GROUP BY 1, 2, 3),
-two AS (SELECT w1, w2, sum(n) AS n FROM own GROUP BY 1, 2),
-s AS (SELECT t.rid, CASE WHEN t.pos = 1 THEN ln(o2.n / total.n) WHEN two.n > own.n THEN ln(two.n / o1.n) ELSE ln(0.4) + ln(o2.n / total.n) END AS s
-  FROM t JOIN one o2 ON t.w = o2.w LEFT JOIN pairs p ON t.rid = p.rid AND t.pos = p.pos LEFT JOIN one o1 ON p.w1 = o1.w
-  LEFT JOIN own ON own.rid = p.rid AND own.w1 = p.w1 AND own.w2 = p.w2 LEFT JOIN two ON two.w1 = p.w1 AND two.w2 = p.w2, total)
+grams AS (SELECT c.rid, c.pos, a.w AS w1, b.w AS w2, c.w AS w3 FROM t c LEFT JOIN t b ON b.rid = c.rid AND b.pos = c.pos - 1 LEFT JOIN t a ON a.rid = c.rid AND a.pos = c.pos - 2),
+own2 AS (SELECT rid, w2, w3, count(*) AS n FROM grams WHERE w2 IS NOT NULL GROUP BY 1, 2, 3),
+own3 AS (SELECT rid, w1, w2, w3, count(*) AS n FROM grams WHERE w1 IS NOT NULL GROUP BY 1, 2, 3, 4),
+two AS (SELECT w2, w3, sum(n) AS n FROM own2 GROUP BY 1, 2),
+three AS (SELECT w1, w2, w3, sum(n) AS n FROM own3 GROUP BY 1, 2, 3),
+s AS (SELECT g.rid, CASE WHEN c3.n > o3.n THEN ln(c3.n / head.n) WHEN c2.n > o2.n THEN ln(c2.n / c1.n) + CASE WHEN g.w1 IS NULL THEN 0 ELSE ln(0.4) END
+    ELSE ln(u.n / total.n) + CASE WHEN g.w2 IS NULL THEN 0 WHEN g.w1 IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS s
+  FROM grams g JOIN one u ON g.w3 = u.w LEFT JOIN one c1 ON g.w2 = c1.w LEFT JOIN two c2 ON g.w2 = c2.w2 AND g.w3 = c2.w3 LEFT JOIN two head ON g.w1 = head.w2 AND g.w2 = head.w3
+  LEFT JOIN three c3 ON g.w1 = c3.w1 AND g.w2 = c3.w2 AND g.w3 = c3.w3 LEFT JOIN own2 o2 ON g.rid = o2.rid AND g.w2 = o2.w2 AND g.w3 = o2.w3
+  LEFT JOIN own3 o3 ON g.rid = o3.rid AND g.w1 = o3.w1 AND g.w2 = o3.w2 AND g.w3 = o3.w3, total)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(sum(s), 0), 6) AS log_score, round(CASE WHEN len(ws) = 0 THEN 0 ELSE sum(s) / len(ws) END, 6) AS mean_log_score
 FROM d LEFT JOIN s ON d.rid = s.rid GROUP BY d.rid, d.doc_id, ws
 """
