@@ -5,7 +5,9 @@ over the whole corpus, words by their 64-bit hashes; nothing is left out or merg
 partitioned by ranges of the n-grams' hashes: each portion of texts sends its distinct n-grams with their
 numbers to the partitions, sorted and packed, and each partition adds them up and answers the portions,
 joined on hash. A portion sends an n-gram once, so a frequent one costs a partition no more than an entry
-for each portion; partitions hold about `PART_KEYS` entries whatever the corpus.
+for each portion; partitions hold about `PART_KEYS` entries whatever the corpus. Portions meet their answers sorted,
+one after the other. Tasks grow in number with the corpus, and what one holds at once is bounded by rows and
+bytes, not by its share of the input.
 
 Scoring: S(w | context) = c(context w) / c(context) if the n-gram also occurs outside the document that is
 scored (its count exceeds the document's own: a document doesn't vouch for itself), else `backoff` times
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import portions
-from .shared import written
+from .shared import forgotten, setting, written
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -57,18 +59,31 @@ def numbered(texts: Iterable[str | None]) -> tuple[list[np.ndarray], np.ndarray]
 
 #: Rows and characters of a portion of texts; n-grams of portions in a partition of a count table, about.
 ROWS, CHARS, PART_KEYS = 2_500, 2_000_000, 1_000_000
+#: What one task holds at once, however large its share is: portions of a row group and of a partition, bytes of a batch.
+GROUP, TOGETHER, BATCH_BYTES = 8, 4, 8 << 20
+
+
+def in_planes(codes: np.ndarray) -> bytes:
+    """Numbers below 2^31 by halves, first the lower ones of all: the upper ones mostly are zero and compress."""
+    c = codes.astype(np.uint32)
+    return (c & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (c >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def of_planes(data: pa.Buffer) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint16).reshape(2, -1)
+    return low.astype(np.int64) | high.astype(np.int64) << 16
 
 
 def tokens(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """A row for each portion of texts: ids, sizes (words), codes (places in words), words (hashes)."""
-    numbers = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("sizes", numbers), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("words", numbers)])
+    """A row for each portion of texts: ids, n (words), sizes (words of each), codes (places in words), words (hashes); numbers are packed."""
+    schema = T.StructType([T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "codes", "words"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches, 1, rows=ROWS, chars=CHARS):
             coded, hashes = numbered(texts)
-            flat = np.concatenate([*coded, np.zeros(0, np.int64)]).astype(np.int32)
-            columns = [pa.ListArray.from_arrays([0, len(texts)], batch.column(0)), pa.array([[len(c) for c in coded]], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.int32())), pa.array([hashes], pa.list_(pa.int64()))]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            flat = np.concatenate([*coded, np.zeros(0, np.int64)])
+            columns = [pa.ListArray.from_arrays([0, len(texts)], batch.column(0)), pa.array([len(flat)], pa.int64()), *(pa.array([x], pa.binary()) for x in (sizes.tobytes(), in_planes(flat), hashes.tobytes()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
@@ -107,8 +122,8 @@ def portions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Portio
     """Of batches that begin with the columns of _PORTION: each row's number, what it holds, and the row."""
     for batch in batches:
         for k in range(batch.num_rows):
-            sizes, codes, hashes = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-            yield batch.column(0)[k].as_py(), Portion(sizes, codes, hashes), batch.slice(k, 1)
+            sizes, codes, hashes = (batch.column(c)[k].as_buffer() for c in (1, 2, 3))
+            yield batch.column(0)[k].as_py(), Portion(np.frombuffer(sizes, np.int64), of_planes(codes), np.frombuffer(hashes, np.int64)), batch.slice(k, 1)
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -116,10 +131,12 @@ def packed(counts: np.ndarray) -> bytes:
     return np.uint32(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
     counts = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data[4 + n :], np.int64)
+    large = counts == 255
+    if large.any():
+        counts[large] = np.frombuffer(data, np.int64, offset=4 + n)
     return counts
 
 
@@ -155,26 +172,29 @@ def gram_counts(coded: DataFrame, k: int, parts: int) -> DataFrame:
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All of a partition's entries, added up; sorted by partition, they follow one another."""
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[int, pa.Buffer, pa.Buffer]] = []
         part = -1
 
         def answers() -> Iterator[pa.RecordBatch]:
-            if held:
-                keys = [np.frombuffer(x, np.uint64) for _, x, _ in held]
-                table, sums = added_up(keys, [unpacked(x) for _, _, x in held])
-                for (portion, _, _), own in zip(held, keys, strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([portion], pa.int64()), pa.array([part], pa.int32()), pa.array([packed(sums[np.searchsorted(table, own)])], pa.binary())], names=["portion", "part", "counts"])
+            if not held:
+                return
+            keys = [np.frombuffer(x, np.uint64) for _, x, _ in held]
+            table, sums = added_up(keys, [unpacked(x) for _, _, x in held])
+            for at in range(0, len(held), 256):
+                some = [packed(sums[np.searchsorted(table, own)]) for own in keys[at : at + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in held[at : at + 256]], pa.int64()), pa.array([part] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["portion", "part", "counts"])
 
         for batch in batches:
-            for p, portion, x, n in zip(*(batch.column(c) for c in range(4)), strict=True):
-                if p.as_py() != part:
+            for p, portion, x, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if p != part:
                     yield from answers()
-                    held, part = [], p.as_py()
-                held.append((portion.as_py(), x.as_py(), n.as_py()))
+                    held, part = [], p
+                held.append((portion, x.as_buffer(), n.as_buffer()))
         yield from answers()
 
     entries = coded.select(*_PORTION).mapInArrow(sent, "part int, portion long, keys binary, n binary")
-    return entries.repartition("part").sortWithinPartitions("part", "portion").mapInArrow(answered, "portion long, part int, counts binary")
+    # As many tasks as there are partitions: a task's share doesn't grow with the corpus.
+    return entries.repartition(parts, "part").sortWithinPartitions("part", "portion").mapInArrow(answered, "portion long, part int, counts binary")
 
 
 def log_scores(own: Portion, counts: list[np.ndarray], total: int, backoff: float) -> np.ndarray:
@@ -205,22 +225,43 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row a document: id_col, n_words, log_score (natural logarithm of S over all words), mean_log_score (0 without words)."""
     if order < 1:
         raise ValueError("order 1 or more")
-    coded = written(tokens(docs, id_col=id_col, text_col=text_col).withColumn("portion", F.monotonically_increasing_id()))
-    total = coded.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(1, -(-total // PART_KEYS))
-    joined = coded.select(*_PORTION, "ids")
-    for k in range(1, order + 1):
-        found = written(gram_counts(coded, k, parts))
-        # As many answers as partitions for each portion, whose size is bounded.
-        by_portion = found.groupBy(F.col("portion").alias(f"portion_{k}")).agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias(f"counts_{k}"))
-        joined = joined.join(by_portion.hint("merge"), F.col("portion") == F.col(f"portion_{k}"), "left").drop(f"portion_{k}")
-    names = [f"counts_{k}" for k in range(1, order + 1)]
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
+    spark = docs.sparkSession
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        coded = written(tokens(docs, id_col=id_col, text_col=text_col).withColumn("portion", F.monotonically_increasing_id()), **{"parquet.block.row.count.limit": GROUP})
+        total, n_portions = coded.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        parts = max(1, -(-total // PART_KEYS))
+        found = [written(gram_counts(coded, k, parts)) for k in range(1, order + 1)]
+        scores = written(scored(coded, found, total, max(1, -(-n_portions // TOGETHER)), id_col=id_col, backoff=backoff))
+    forgotten(coded, *found)
+    return scores
+
+
+def scored(coded: DataFrame, found: list[DataFrame], total: int, tasks: int, *, id_col: str, backoff: float) -> DataFrame:
+    """The scores of all portions: each portion's row, then its answers of each order by partition, follow one another."""
+    ids, order = coded.schema["ids"].dataType, len(found)
+    rows = coded.select(*_PORTION, "ids", F.lit(0).alias("k"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("counts"))
+    for k, answers in enumerate(found, 1):
+        empty = (F.lit(None).cast("binary").alias(c) for c in _PORTION[1:])
+        rows = rows.unionByName(answers.select("portion", *empty, F.lit(None).cast(ids).alias("ids"), F.lit(k).alias("k"), "part", "counts"))
+    schema = T.StructType([T.StructField(id_col, ids.elementType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own, row in portions_of(batches):
-            counts = [np.concatenate([np.zeros(0, np.int64), *(unpacked(x["counts"]) for x in row.column(5 + k)[0].as_py() or ())]) for k in range(len(names))]
-            scores = log_scores(own, counts, total, backoff)
-            yield pa.RecordBatch.from_arrays([row.column(4)[0].values, pa.array(own.sizes), pa.array(scores), pa.array(scores / np.maximum(1, own.sizes))], names=schema.names)
+        own, own_ids = None, None
+        got: list[list[np.ndarray]] = []
+
+        def scores() -> Iterator[pa.RecordBatch]:
+            if own is not None:
+                summed = log_scores(own, [np.concatenate([np.zeros(0, np.int64), *x]) for x in got], total, backoff)
+                yield pa.RecordBatch.from_arrays([own_ids, pa.array(own.sizes), pa.array(summed), pa.array(summed / np.maximum(1, own.sizes))], names=schema.names)
 
-    return joined.select(*_PORTION, "ids", *names).mapInArrow(run, schema)
+        for batch in batches:
+            for at, (k, counts) in enumerate(zip(batch.column(5).to_pylist(), batch.column(7), strict=True)):
+                if k:
+                    got[k - 1].append(unpacked(counts.as_buffer()))
+                else:
+                    yield from scores()
+                    ((_, own, row),) = portions_of([batch.slice(at, 1)])
+                    own_ids, got = row.column(4)[0].values, [[] for _ in range(order)]
+        yield from scores()
+
+    return rows.repartition(tasks, "portion").sortWithinPartitions("portion", "k", "part").mapInArrow(run, schema)

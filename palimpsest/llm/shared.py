@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import drop_tables, forgotten, narrowed, swept, written
+from ..operators.tables import drop_tables, forgotten, narrowed, setting, swept, written
 
-__all__ = ["drop_tables", "forgotten", "free_name", "let", "narrowed", "swept", "table", "words_of", "written"]
+__all__ = ["drop_tables", "forgotten", "free_name", "let", "narrowed", "setting", "swept", "table", "words_of", "written"]
 
 #: The words of contract texts: runs of anything but ASCII white space (a Java pattern of the separators).
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"

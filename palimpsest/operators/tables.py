@@ -33,25 +33,29 @@ def tables_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Queries in it drop their shuffle files as they end; otherwise those stay until the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Queries that run in it have a session's setting at value."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Queries in it drop their shuffle files as they end; otherwise those stay until the driver happens to collect its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, by: str | None = None, **options: object) -> DataFrame:
     """df as a Parquet table of the shared folder, read back: its lineage ends here, and a lost executor costs no recomputation.
 
-    by: a column of few values whose rows lie in folders of their own.
+    by: a column of few values whose rows lie in folders of their own; options: the Parquet writer's.
     """
     spark, path = df.sparkSession, f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
     return out

@@ -483,6 +483,30 @@ def test_documents_that_occur_twice_score_apart(spark):
     assert all(abs(got[k] - got[100 + k]) < 1e-9 for k in range(5))
 
 
+def test_language_model_tasks_grow_with_the_corpus(spark, all_docs, monkeypatch):
+    """Many small portions and partitions: a task for each partition, row groups of few portions, the same scores."""
+    import os
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from palimpsest.llm.shared import written
+
+    want = lm_score.score_documents(all_docs).collect()
+    monkeypatch.setattr(lm_score, "ROWS", 9)
+    monkeypatch.setattr(lm_score, "PART_KEYS", 3000)
+    coded = written(lm_score.tokens(all_docs, id_col="doc_id", text_col="text").withColumn("portion", F.monotonically_increasing_id()))
+    assert coded.count() > 20 and lm_score.gram_counts(coded, 2, 11).rdd.getNumPartitions() == 11
+    seen = []
+    monkeypatch.setattr(lm_score, "written", lambda df, **options: seen.append(written(df, **options)) or seen[-1])
+    monkeypatch.setattr(lm_score, "forgotten", lambda *tables: None)
+    got = lm_score.score_documents(all_docs).collect()
+    files = [f.removeprefix("file:") for f in seen[0].inputFiles()]
+    assert all(g.num_rows <= lm_score.GROUP for f in files for m in [pq.ParquetFile(os.fspath(f)).metadata] for g in map(m.row_group, range(m.num_row_groups)))
+    key = lambda rows: sorted((str(r.doc_id), r.n_words, round(r.log_score, 6)) for r in rows)
+    assert key(got) == key(want)
+
+
 OPERATORS = {
     "bpe": lambda d, i: bpe.encode_documents(d, tokenizer_json()),
     "lm_score": lambda d, i: lm_score.score_documents(d),
