@@ -12,8 +12,8 @@ several articles the largest counts, and those at least half as large. Where the
 elsewhere by far, the induced root decides.
 
 All pages are aligned, whole; copies of a page count once, and copies but for a few words of the
-reference say nothing. Lists of children whose product is over `MOST_CELLS` are matched pairwise from both
-ends, which takes linear time and leaves none out.
+reference say nothing. Lists of children of any length are matched exactly, in memory that grows with the
+root of their product.
 
 Defined results: null html is the empty page: empty text; a null url is a host of its own; a page
 without blocks has the empty text; a host with fewer than three distinct pages has no template; repeated
@@ -23,11 +23,13 @@ rows give repeated results; extra columns are ignored; an empty table gives an e
 from __future__ import annotations
 
 import html
+import math
 import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -243,62 +245,116 @@ def kids(n) -> list:
     return [c for c in n.children if c.tag in BLOCKS]
 
 
-#: Cells of the table that the children of two nodes are matched by; longer lists are matched from both ends.
+#: Cells held at once of the table that the children of two nodes are matched by; what a larger table is needed for again is computed again.
 MOST_CELLS = 40_000
 
 
-def matching(a, b, depth: int) -> list[tuple]:
-    """The aligned nodes of two trees by simple tree matching of elements that are blocks: the most nodes in order, with equal tags and matched parents."""
-    memo: dict[tuple[int, int], tuple[int, list[tuple]]] = {}
+def next_row(above: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The most nodes of the first children with one more on the left: weights has what it makes with each on the right, 0 where tags differ."""
+    row = above.copy()
+    np.maximum(above[1:], above[:-1] + weights, out=row[1:])
+    return np.maximum.accumulate(row, out=row)
 
-    def size(x, y) -> int:
-        key = id(x), id(y)
-        if key in memo:
-            return memo[key][0]
-        xs, ys = kids(x), kids(y)
-        if len(xs) * len(ys) > MOST_CELLS:
-            half = (min(len(xs), len(ys)) + 1) // 2
-            rest = min(len(xs), len(ys)) - half
-            ends = [*zip(xs[:half], ys[:half], strict=True), *zip(xs[len(xs) - rest :], ys[len(ys) - rest :], strict=True)]
-            pairs = [(u, v) for u, v in ends if u.tag == v.tag]
-            memo[key] = 1 + sum(size(u, v) for u, v in pairs), pairs
-            return memo[key][0]
-        best = [[0] * (len(ys) + 1)]
-        for u in xs:
-            above, row = best[-1], [0]
-            for j, v in enumerate(ys):
-                most = above[j + 1] if above[j + 1] > row[j] else row[j]
-                if u.tag == v.tag:
-                    with_both = above[j] + size(u, v)
-                    if with_both > most:
-                        most = with_both
-                row.append(most)
-            best.append(row)
-        pairs, i, j = [], len(xs), len(ys)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
+
+def in_order(left: list[int], right: list[int], weight) -> tuple[int, list[tuple[int, int]]]:
+    """The most that pairs in order weigh, and the pairs, last first; left, right: kinds of children, weight(x, y) of two kinds.
+
+    First children of one kind are a pair of every best choice that takes the first ones it can. Of the rest
+    rows of the table are kept at distances, and those between are computed again as the pairs are read off it.
+    """
+    begin = 0
+    while begin < min(len(left), len(right)) and left[begin] == right[begin]:
+        begin += 1
+    same = [(k, k) for k in reversed(range(begin))]
+    total = sum(weight(x, x) for x in left[:begin])
+    left, right = left[begin:], right[begin:]
+    if not left or not right:
+        return total, same
+    kinds = {y: k for k, y in enumerate(dict.fromkeys(right))}
+    place = np.fromiter(map(kinds.__getitem__, right), np.int64, len(right))
+    of: dict[int, np.ndarray] = {}
+
+    def weights(x: int) -> np.ndarray:
+        if x not in of:
+            of[x] = np.array([weight(x, y) for y in kinds], np.int64)  # no generator, whose frames are C's: trees may be deep
+        return of[x][place]
+
+    step = max(math.isqrt(len(left)) + 1, MOST_CELLS // (len(right) + 1))
+    row = np.zeros(len(right) + 1, np.int64)
+    kept = [row]
+    for i, x in enumerate(left, 1):
+        row = next_row(row, weights(x))
+        if i % step == 0:
+            kept.append(row)
+    total += int(row[-1])
+    pairs, i, j = [], len(left), len(right)
+    while i and j:
+        first = (i - 1) // step * step
+        rows = [kept[first // step][: j + 1]]
+        for x in left[first:i]:
+            rows.append(next_row(rows[-1], weights(x)[:j]))
+        while i > first and j:
+            here = rows[i - first]
+            if here[j] == rows[i - first - 1][j]:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
+            elif here[j] == here[j - 1]:
+                j = int(np.searchsorted(here[: j + 1], here[j]))  # rows ascend
             else:
                 i, j = i - 1, j - 1
-                pairs.append((xs[i], ys[j]))
-        memo[key] = 1 + best[-1][-1], pairs
-        return memo[key][0]
+                pairs.append((begin + i, begin + j))
+    return total, pairs + same
 
+
+def matching(a, b, depth: int) -> list[tuple]:
+    """The aligned nodes of two trees by simple tree matching of elements that are blocks: the most nodes in order, with equal tags and matched parents.
+
+    Nodes with equal tags and children of the same kinds are of one kind; two kinds are matched once. Every pair of
+    lists is matched exactly, whatever its length.
+    """
     if a.tag != b.tag:
         return []
+    numbers: dict[tuple, int] = {}
+    shapes: list[tuple[str, tuple[int, ...], int]] = []
+    kind: dict[int, int] = {}
+
+    def name(top) -> None:
+        order = [top]
+        for x in order:
+            order += kids(x)
+        for x in reversed(order):  # children come before parents
+            key = (x.tag, tuple(kind[id(c)] for c in kids(x)))
+            if key not in numbers:
+                numbers[key] = len(shapes)
+                shapes.append((*key, 1 + sum(shapes[c][2] for c in key[1])))
+            kind[id(x)] = numbers[key]
+
+    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def size(x: int, y: int) -> int:
+        if x == y:
+            return shapes[x][2]
+        if shapes[x][0] != shapes[y][0]:
+            return 0
+        if (x, y) not in memo:
+            most, pairs = in_order(shapes[x][1], shapes[y][1], size)
+            memo[x, y] = 1 + most, pairs
+        return memo[x, y][0]
+
+    name(a)
+    name(b)
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, depth + 2000))
+    sys.setrecursionlimit(max(limit, 4 * depth + 2000))
     try:
-        size(a, b)
+        size(kind[id(a)], kind[id(b)])
     finally:
         sys.setrecursionlimit(limit)
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        todo += memo[id(x), id(y)][1]
+        xs, ys = kids(x), kids(y)
+        pair = kind[id(x)], kind[id(y)]
+        todo += zip(xs, ys, strict=True) if pair[0] == pair[1] else [(xs[i], ys[j]) for i, j in memo[pair][1]]
     return out
 
 

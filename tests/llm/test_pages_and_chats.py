@@ -97,6 +97,29 @@ def test_tree_matching_against_all_matchings(monkeypatch):
     assert len(matching(long.root, Page("<div>" + "<p>y</p>" * 200 + "</div>").root, 20)) == 202
 
 
+def test_long_lists_are_matched_exactly(monkeypatch):
+    """Over 40,000 cells, and whatever part of the table is held at once, as one plain table of all cells has it."""
+
+    def plain(xs, ys):
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs, 1):
+            for j, y in enumerate(ys, 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + (x == y))
+        return best[-1][-1]
+
+    rng = random.Random(6)
+    xs, ys = (["h2" if rng.random() < 0.1 else rng.choice(("p", "ul", "pre")) for _ in range(n)] for n in (260, 240))
+    a, b = (Page("<div>" + "".join(f"<{t}>x</{t}>" for t in tags) + "</div>") for tags in (xs, ys))
+    found = matching(a.root, b.root, 5)
+    assert len(found) == 2 + plain(xs, ys)
+    pairs = [(a.nodes.index(x), b.nodes.index(y)) for x, y in found]
+    for cells in (1, 1000, 10**9):
+        monkeypatch.setattr(html_extract, "MOST_CELLS", cells)
+        assert pairs == [(a.nodes.index(x), b.nodes.index(y)) for x, y in matching(a.root, b.root, 5)]
+    deep, other = Page("<div>" * 5000 + "<p>x"), Page("<div>" * 4990 + "<ul><li>y")
+    assert len(matching(deep.root, other.root, 5002)) == 4991
+
+
 def test_deep_and_broken_pages():
     deep = "<div>" * 5000 + "deep"
     assert main_text(Page(deep), frozenset(), []) == "deep"
