@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, joined by prefixes of ordered sets.
+"""Near copies by SimHash, verified by exact Jaccard similarity of word shingles; what SimHash misses is joined by prefixes of ordered sets.
 
 A text is the set of its 5-word shingles as 64-bit hashes (words as in `simhash`). Two sets of Jaccard
 similarity t or more that are put in one order share a shingle among the first n - ceil(t n) + 1 of each
@@ -6,7 +6,13 @@ similarity t or more that are put in one order share a shingle among the first n
 are in many texts come last, which keeps common passages out of prefixes. What is known of them is a bit for
 each of a fixed number of buckets of hashes; it decides about speed alone. Equal sets are one node.
 
-Candidates are compared in two steps, and what is linked is connected after each: every node with the
+SimHash comes first: a set's fingerprint has a bit of 64 set if over half of its shingles' hashes have it, and
+fingerprints are linked as `simhash.links` does it, by deletion-variant signatures. Its links are candidates: sets
+of one fingerprint with the first of them, the first ones of linked fingerprints with each other. Those that
+are similar enough are connected. Similar sets may differ in more bits than signatures allow, so the prefixes
+go on from there.
+
+Candidates of prefixes are compared in two steps, and what is linked is connected after each: every node with the
 first node of each of its prefix shingles, the one with the fewest shingles before it (of a group of edited
 copies it is the least edited one, which most are similar to); then, of the nodes of a shingle that aren't in its largest
 component, each with all nodes of other components. So a large group of near copies costs comparisons by
@@ -33,6 +39,7 @@ from .batches import portions
 from .lm_score import numbered
 from .shared import forgotten, free_name, swept, written
 from .simhash import components
+from .simhash import links as linked_prints
 
 #: Buckets of hashes in the bit sets that are broadcast (8 MB); a shingle in more texts than this comes last.
 BUCKET_BITS, OFTEN = 26, 16
@@ -116,22 +123,31 @@ def differing(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
+def print_of(s: np.ndarray) -> int:
+    """The SimHash fingerprint of a set, as a signed 64-bit number: the bits that over half of its hashes have."""
+    total = np.zeros(64, np.int64)
+    octets = np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(octets), 1 << 16):
+        total += np.unpackbits(octets[at : at + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(s), bitorder="little").tobytes(), "little", signed=True)
+
+
 def nodes(rows: DataFrame, sent, *, shingle: int, percent: int) -> DataFrame:
-    """Of rows (row, text, id) a node for each distinct set: node (the row of the least id), first (last, id, row), n, bits, prefix."""
+    """Of rows (row, text, id) a node for each distinct set: node (the row of the least id), first (last, id, row), n, bits, prefix, fp."""
     import xxhash
 
-    schema = T.StructType([*(rows.schema[c] for c in ("row", "id")), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(rows.schema[c] for c in ("row", "id")), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in portions(batches, 1, rows=ROWS, chars=CHARS):
             sets = shingle_sets(texts, shingle)
             ordered = (s[np.argsort(has(sent.value, s), kind="stable")][: prefix_length(len(s), percent)].view(np.int64) for s in sets)
-            columns = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(parities, sets), pa.binary()), pa.array(list(ordered), pa.list_(pa.int64()))]
+            columns = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(parities, sets), pa.binary()), pa.array(list(ordered), pa.list_(pa.int64())), pa.array(map(print_of, sets), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=schema.names)
 
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
-    made = rows.select("row", "text", "id").mapInArrow(run, schema).groupBy("digest").agg(first, *(F.any_value(c).alias(c) for c in ("n", "bits", "prefix")))
-    return made.select(F.col("first.row").alias("node"), "first", "n", "bits", "prefix")
+    made = rows.select("row", "text", "id").mapInArrow(run, schema).groupBy("digest").agg(first, *(F.any_value(c).alias(c) for c in ("n", "bits", "prefix", "fp")))
+    return made.select(F.col("first.row").alias("node"), "first", "n", "bits", "prefix", "fp")
 
 
 def listed(some: DataFrame) -> DataFrame:
@@ -201,9 +217,25 @@ def alike(pairs: DataFrame, rows: DataFrame, some: DataFrame, *, shingle: int, p
     return found
 
 
+def by_prints(some: DataFrame, *, bucket: int = 16) -> DataFrame:
+    """(a, b): the candidates of SimHash among nodes, by their fingerprints; some: (node, fp)."""
+    first = written(some.groupBy("fp").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")))
+    equal = some.join(first.where("k > 1").hint("merge"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    near = linked_prints(first.select("fp"), bucket)
+    one = lambda side: first.select(F.col("fp").alias(side), F.col("a").alias(f"node_{side}")).hint("merge")
+    apart = near.where("a <> b").join(one("a"), "a").join(one("b"), "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    found = written(equal.unionByName(apart).distinct())
+    forgotten(first)
+    return found
+
+
 def links(rows: DataFrame, some: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """(a, b): links of nodes, enough of them to connect all that are linked; some: (node, n, bits, prefix)."""
+    """(a, b): links of nodes, enough of them to connect all that are linked; some: (node, n, bits, prefix, fp)."""
     same = {"rows": rows, "some": some, "shingle": shingle, "percent": percent}
+    candidates = by_prints(some.select("node", "fp"))
+    printed = alike(candidates, **same)
+    forgotten(candidates)
+    groups = components(printed)
     pos = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     tokens = written(listed(some).groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(pos).alias("least")).where("m > 1").drop("m"))
     swept(rows.sparkSession)
@@ -211,9 +243,12 @@ def links(rows: DataFrame, some: DataFrame, *, shingle: int, percent: int) -> Da
     first = shared.where(pos == F.col("least")).groupBy("token").agg(F.min("node").alias("first"), F.min_by("at", "node").alias("first_at"))
     members = written(shared.drop("least").join(first.hint("merge"), "token"))
     forgotten(tokens, shared)
-    stars = written(members.where(F.col("node") != F.col("first")).where(may_be_alike(F.col("at"), F.col("first_at"), percent)).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    found = alike(stars, **same)
-    forgotten(stars)
+    stars = members.where(F.col("node") != F.col("first")).where(may_be_alike(F.col("at"), F.col("first_at"), percent)).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    # What SimHash has connected needn't meet again.
+    group = lambda side: groups.toDF(side, f"group_{side}").hint("merge")
+    stars = written(stars.join(group("a"), "a", "left").join(group("b"), "b", "left").where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b"))
+    found = printed.unionByName(alike(stars, **same))
+    forgotten(stars, groups)
     # Of a shingle's nodes, those outside its largest component still have to meet the others.
     labels = components(found)
     member = written(members.join(labels.hint("merge"), "node", "left").select("token", "node", "at", "first", F.coalesce("label", "node").alias("label")))
@@ -242,7 +277,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sent = context.broadcast(often(rows, shingle=shingle))
     swept(docs.sparkSession)
     made = written(nodes(rows, sent, shingle=shingle, percent=percent))
-    labels = components(links(rows, made.select("node", "n", "bits", "prefix"), shingle=shingle, percent=percent))
+    labels = components(links(rows, made.select("node", "n", "bits", "prefix", "fp"), shingle=shingle, percent=percent))
     named = made.join(labels.hint("merge"), "node", "left")
     stay = written(named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(stays)))
     forgotten(made, labels)

@@ -65,3 +65,40 @@ def test_documents_of_the_table(spark, all_docs):
     rows = [(r.doc_id if r.doc_id is not None else 1 << 60, r.text) for r in all_docs.collect()]
     assert {r.doc_id if r.doc_id is not None else 1 << 60 for r in near_copies.one_of_each(all_docs).collect()} == brute(rows)
     assert near_copies.one_of_each(all_docs.limit(0)).count() == 0
+
+
+def test_simhash_is_the_first_step(spark, monkeypatch):
+    """SimHash's links of different texts are found by fingerprints, verified, and connect texts before prefixes are joined."""
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(20):  # long texts with one word changed at the end: few bits differ
+        w = words(600)
+        texts += [w, [*w[:-1], f"edit{rng.random()}"]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    candidates, verified = [], []
+    by_prints, alike = near_copies.by_prints, near_copies.alike
+
+    def kept(some):
+        found = by_prints(some)
+        candidates.append({tuple(r) for r in found.collect()})
+        return found
+
+    def checked(pairs, **same):
+        found = alike(pairs, **same)
+        verified.append({tuple(r) for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(near_copies, "by_prints", kept)
+    monkeypatch.setattr(near_copies, "alike", checked)
+    out = pipeline_stages.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(brute(rows))
+    sets = near_copies.shingle_sets([t for _, t in rows], 5)
+    prints = [near_copies.print_of(s) & (1 << 64) - 1 for s in sets]
+    bits = [sum(2 * sum(int(h) >> b & 1 for h in s) > len(s) for s in sets[:1]) for b in range(64)]
+    assert [prints[0] >> b & 1 for b in range(64)] == bits
+    near = sum((prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 2 for k in range(20))
+    assert near and len(candidates[0]) == near and verified[0] == candidates[0]
+    # Pairs that SimHash has connected don't meet again.
+    assert len(verified[1]) == 20 - near and not verified[1] & verified[0]
