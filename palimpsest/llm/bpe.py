@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import portions
+from .batches import alone, kept_by, portions
 
 #: White space of Unicode, and the pieces that a text is cut into.
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -258,16 +258,14 @@ class Memory:
             ids[p], text[p] = " ".join(map(str, found)), self.bpe.decode(found)
 
 
-_loaded: dict[str, Memory] = {}
-
-
 def _worker(spec: str) -> Memory:
     """The tokenizer and the words encoded so far, once in each Python worker."""
     key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Memory(WordBpe(spec))
-    return _loaded[key]
+    loaded = kept_by("bpe")
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = Memory(WordBpe(spec))
+    return loaded[key]
 
 
 def encode_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
@@ -307,4 +305,4 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc
                 columns.append(pa.ListArray.from_arrays(offsets, np.concatenate(lists), type=pa.list_(pa.field("element", pa.int32(), False))))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(id_col, F.col(text_col), *keep).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, F.col(text_col), *keep).mapInArrow(alone("bpe", run), T.StructType(fields))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import portions
+from .batches import kept_by, portions
 from .shared import free_name, written
 
 #: Bytes of UTF-8: A-Z become a-z, what isn't a word becomes a blank.
@@ -170,15 +170,13 @@ def item_blocks(items: DataFrame, *, item_id: str, item_text: str, block_words:
         yield block
 
 
-_built: dict[bytes, SuffixAutomaton] = {}
-
-
 def _automaton(key: bytes, block: list[tuple[str, str | None]], window: int) -> SuffixAutomaton:
     """The block's automaton; a worker keeps one."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = SuffixAutomaton(block, window)
-    return _built[key]
+    built = kept_by("decontaminate")
+    if key not in built:
+        built.clear()
+        built[key] = SuffixAutomaton(block, window)
+    return built[key]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

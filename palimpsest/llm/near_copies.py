@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import portions
+from .batches import alone, portions
 from .lm_score import numbered
-from .shared import forgotten, free_name, swept, written
+from .shared import forgotten, free_name, setting, swept, written
 from .simhash import components
 from .simhash import links as linked_prints
 
@@ -45,6 +45,8 @@ from .simhash import links as linked_prints
 BUCKET_BITS, OFTEN = 26, 16
 #: Rows and characters whose shingles are made at once, rows that are given back at once, and comparisons with one node that one task makes.
 ROWS, CHARS, AT_ONCE, TOGETHER = 10_000, 4_000_000, 200_000, 2048
+#: Bytes of a batch that goes to Python, but for the last row: long texts and large sets come in fewer rows.
+BATCH_BYTES = 8 << 20
 
 
 def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
@@ -73,7 +75,7 @@ def bit_set(numbers: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(buckets(batch.column(0).to_numpy(zero_copy_only=False))) + 1)], names=["bucket"])
 
-    found = numbers.mapInArrow(run, "bucket long").groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits"))
+    found = numbers.mapInArrow(alone("near_copies", run), "bucket long").groupBy(F.bitmap_bucket_number("bucket").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits"))
     bits = np.zeros((1 << BUCKET_BITS) // 8, np.uint8)
     found = written(found)
     for part, b in found.toLocalIterator():
@@ -100,7 +102,7 @@ def often(rows: DataFrame, *, shingle: int) -> np.ndarray:
             for at in range(0, len(found), AT_ONCE):
                 yield pa.RecordBatch.from_arrays([pa.array(found[at : at + AT_ONCE].view(np.int64)), pa.array(n[at : at + AT_ONCE].astype(np.int32))], names=["token", "m"])
 
-    counts = rows.select("text").mapInArrow(run, "token long, m int").groupBy("token").agg(F.sum("m").alias("m"))
+    counts = rows.select("text").mapInArrow(alone("near_copies", run), "token long, m int").groupBy("token").agg(F.sum("m").alias("m"))
     return bit_set(counts.where(F.col("m") > OFTEN).select("token"))
 
 
@@ -146,7 +148,7 @@ def nodes(rows: DataFrame, sent, *, shingle: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=schema.names)
 
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
-    made = rows.select("row", "text", "id").mapInArrow(run, schema).groupBy("digest").agg(first, *(F.any_value(c).alias(c) for c in ("n", "bits", "prefix", "fp")))
+    made = rows.select("row", "text", "id").mapInArrow(alone("near_copies", run), schema).groupBy("digest").agg(first, *(F.any_value(c).alias(c) for c in ("n", "bits", "prefix", "fp")))
     return made.select(F.col("first.row").alias("node"), "first", "n", "bits", "prefix", "fp")
 
 
@@ -183,7 +185,7 @@ def alike(pairs: DataFrame, rows: DataFrame, some: DataFrame, *, shingle: int, p
 
     of = lambda side: some.select("node", "n", "bits").toDF(side, f"n_{side}", f"bits_{side}").hint("merge")
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    fit = written(both.mapInArrow(possible, "a long, b long"))
+    fit = written(both.mapInArrow(alone("near_copies", possible), "a long, b long"))
     many = fit.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("shares"))
     dealt = written(fit.join(many.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b"))
     asked = dealt.select("a", "share", F.lit(1).alias("turn"), F.col("b").alias("node")).unionByName(dealt.select("a", "share").distinct().select("a", "share", F.lit(0).alias("turn"), F.col("a").alias("node")))
@@ -209,9 +211,9 @@ def alike(pairs: DataFrame, rows: DataFrame, some: DataFrame, *, shingle: int, p
                     same.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    sets = rows.select(F.col("row").alias("node"), "text").mapInArrow(run, "node long, hashes binary")
+    sets = rows.select(F.col("row").alias("node"), "text").mapInArrow(alone("near_copies", run), "node long, hashes binary")
     met = asked.join(sets.hint("merge"), "node").repartition("a", "share").sortWithinPartitions("a", "share", "turn")
-    found = written(met.select("a", "turn", "node", "hashes").mapInArrow(compare, "a long, b long"))
+    found = written(met.select("a", "turn", "node", "hashes").mapInArrow(alone("near_copies", compare), "a long, b long"))
     sent.destroy()
     forgotten(fit, dealt)
     return found
@@ -273,12 +275,13 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     row, stays = free_name(docs, "row"), free_name(docs, "stays")
     context = docs.sparkSession.sparkContext
     marked = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    rows = marked.select(F.col(row).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sent = context.broadcast(often(rows, shingle=shingle))
-    swept(docs.sparkSession)
-    made = written(nodes(rows, sent, shingle=shingle, percent=percent))
-    labels = components(links(rows, made.select("node", "n", "bits", "prefix", "fp"), shingle=shingle, percent=percent))
-    named = made.join(labels.hint("merge"), "node", "left")
-    stay = written(named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(stays)))
-    forgotten(made, labels)
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        rows = marked.select(F.col(row).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+        sent = context.broadcast(often(rows, shingle=shingle))
+        swept(docs.sparkSession)
+        made = written(nodes(rows, sent, shingle=shingle, percent=percent))
+        labels = components(links(rows, made.select("node", "n", "bits", "prefix", "fp"), shingle=shingle, percent=percent))
+        named = made.join(labels.hint("merge"), "node", "left")
+        stay = written(named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(stays)))
+        forgotten(made, labels)
     return marked.join(stay.hint("merge"), F.col(row) == F.col(stays), "left_semi").select(*docs.columns)

@@ -1,6 +1,8 @@
 import random
 
-from palimpsest.llm import near_copies, pipeline_stages, simhash
+import pyarrow as pa
+
+from palimpsest.llm import batches, bpe, near_copies, pipeline_stages, queries, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -102,3 +104,45 @@ def test_simhash_is_the_first_step(spark, monkeypatch):
     assert near and len(candidates[0]) == near and verified[0] == candidates[0]
     # Pairs that SimHash has connected don't meet again.
     assert len(verified[1]) == 20 - near and not verified[1] & verified[0]
+
+
+def mapped(monkeypatch, spark, rows):
+    """What near-dedup gives to mapInArrow."""
+    given, frame = [], type(rows)
+    plain = frame.mapInArrow
+
+    def kept(self, run, *a, **b):
+        given.append((run, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)))
+        return plain(self, run, *a, **b)
+
+    with monkeypatch.context() as m:
+        m.setattr(frame, "mapInArrow", kept)
+        pipeline_stages.near_dedup(spark, rows, "").collect()
+    return given
+
+
+def test_workers_hold_nothing_of_other_operators(spark, monkeypatch):
+    """A worker that has encoded texts lets its tokenizer and words go before near-dedup's tasks; their batches are bounded in bytes."""
+    w = [f"v{k}" for k in range(200)]
+    texts = [" ".join(w), " ".join([*w[:-1], "edit"]), " ".join(w[::-1])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    given = mapped(monkeypatch, spark, docs)
+    assert len(given) > 5 and {size for _, size in given} == {str(near_copies.BATCH_BYTES)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    for run, _ in given:
+        memory = bpe._worker(queries.tokenizer_json())
+        memory.learn({"word"})
+        assert bpe._worker(queries.tokenizer_json()) is memory and "bpe" in batches._kept
+        list(run(iter([])))
+        assert "bpe" not in batches._kept
+
+
+def test_kept_by_one_operator(monkeypatch):
+    monkeypatch.setattr(batches, "_kept", {})
+    batches.kept_by("a")["x"] = 1
+    assert batches.kept_by("a") == {"x": 1}
+    assert batches.kept_by("b") == {} and batches.kept_by("a") == {}
+    task = batches.alone("b", lambda found: (b.slice(1) for b in found))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["n"])
+    assert [b.num_rows for b in task(iter([batch, batch]))] == [1, 1] and list(batches._kept) == ["b"]
